@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setlens.functions.ids import plain_case, plain_identity, plain_image, plain_name, stripped
-from setlens.llm import encode, mixing, overlap, quota_sample, splits, topn
+from setlens.llm import encode, mixing, neighbours, overlap, quota_sample, splits, topn
 from setlens.shared import cut, table
 
 CASES = ["INDIVIDUAL", "GROUP", "DUAL", "RELATIONAL"]
@@ -118,6 +118,15 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(plan, quota_sample.PLAN_SCHEMA).withColumnRenamed("category", "case_type")
 
 
+# ---- 5: most similar vectors for every vector
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "persons").select(F.col("person_id").alias("id"), F.col("identity_vec").alias("vec"))
+    pairs = neighbours.neighbour_pairs(neighbours.nearest(vectors, 5))
+    return pairs.select(F.col("a").alias("person_a"), F.col("b").alias("person_b"))
+
+
 # ---- 6: same or near-same records across splits
 
 
@@ -196,6 +205,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_sample": p4_sample,
     "p4_report": p4_report,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_ids": p7_ids,
@@ -222,4 +232,15 @@ ORACLE = {
         targets AS (SELECT *, upper(trim(case_type)) AS c, floor(draw_fraction * (SELECT count(*) FROM known)) AS rows_ FROM case_targets)
         SELECT draw_id, t.c AS case_type FROM targets t LEFT JOIN counts USING (c)
         WHERE coalesce(n, 0) < greatest(min_rows, floor(target_share * rows_))""",
+    "p5_found": """
+        WITH good AS (
+          SELECT person_id AS id, min(list_transform(identity_vec, lambda x: x::DOUBLE)) AS v FROM persons
+          WHERE len(identity_vec) = 64 AND len(list_filter(identity_vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(identity_vec, lambda x: x <> 0)) > 0 GROUP BY person_id),
+        normed AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM good),
+        sims AS (
+          SELECT a.id AS a, b.id AS b, row_number() OVER (
+            PARTITION BY a.id ORDER BY round(list_inner_product(a.v, b.v) / (a.n * b.n), 9) DESC, b.id) AS r
+          FROM normed a JOIN normed b ON a.id <> b.id)
+        SELECT DISTINCT least(a, b) AS person_a, greatest(a, b) AS person_b FROM sims WHERE r <= 5""",
 }
