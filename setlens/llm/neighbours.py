@@ -1,7 +1,7 @@
 """Most similar vectors for every vector: an inverted-file index scanned by adaptive dimensions.
 
 Equal vectors form one class with its smallest ids, so a group of copies of any size is one entry of the index. Lists are
-the nearest of about 2 sqrt(N) centroids, fitted on at most SAMPLE vectors; every vector is indexed. A list longer than
+the nearest of about sqrt(N) centroids, fitted on at most SAMPLE vectors; every vector is indexed. A list longer than
 BLOCK is divided into units. Each unit first compares its own vectors, which gives every query a true bound on its
 distance to the k-th neighbour; the query then visits the units of its PROBES nearest lists. There the vectors, turned by
 a random rotation, are read in blocks of columns: after each block a hypothesis test on the partial distance gives up the
@@ -29,7 +29,7 @@ from setlens.shared import cut
 WIDTH = 64
 SAMPLE = 20_000  # vectors at most that fit the centroids
 LISTS = 16_384  # centroids at most
-PROBES = 64
+PROBES = 32
 BLOCK = 4_096  # vectors aimed at per unit at most
 SLICE = 16_384  # queries aimed at per task at most
 COLUMNS = 16  # columns read between two tests
@@ -116,7 +116,7 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = WIDTH, probes: int = PR
     classes = cut(classes)
 
     count = classes.count()
-    lists = int(min(LISTS, max(1, 2 * count**0.5)))
+    lists = int(min(LISTS, max(1, count**0.5)))
     share = min(1.0, SAMPLE / max(1, count))
     in_sample = F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) < int(share * 1_000_003) + 1
     sample = classes.where(in_sample).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "vec").toPandas()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setlens.functions.ids import plain_case, plain_identity, plain_image, plain_name, stripped
-from setlens.llm import encode, mixing, neighbours, overlap, quota_sample, splits, topn
+from setlens.llm import encode, mixing, neighbours, overlap, quota_sample, sentences, splits, topn
 from setlens.shared import cut, table
 
 CASES = ["INDIVIDUAL", "GROUP", "DUAL", "RELATIONAL"]
@@ -197,6 +197,22 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mixing.mix_sources(docs, plan), plan)
 
 
+# ---- 9: sentence boundaries
+
+
+def sentence_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where(~F.col("doc_type").eqNullSafe("log"))
+    return sentences.sentences(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_rows(spark, d).select("doc_id", "start_pos", "end_pos")
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_rows(spark, d).select("doc_id", "seq", "sentence")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -211,6 +227,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_sentences": p9_sentences,
 }
 ORACLE = {
     "p1_found": _KEYS
