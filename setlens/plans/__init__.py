@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["references", "dataset", "geometry"]
+MODULES = ["references", "dataset", "geometry", "retrieval"]
 
 
 def core_queries() -> list:

@@ -326,8 +326,9 @@ audit AS (SELECT *, CASE WHEN foreign_ids > 0 THEN 'stale' WHEN labelled = 0 THE
 ORACLE = {
     "split_gallery": with_cte("gal", "img") + """SELECT split, image_id, row_number() OVER (PARTITION BY split ORDER BY gallery_pos, image_id) AS split_pos
         FROM img WHERE split IN ('train', 'val', 'test')""",
-    "split_scoped_positives": with_cte(*_ALL, more=_SCOPE) + """SELECT s.sample_id, s.split, string_agg(p.image_id, ',' ORDER BY p.i) AS positives
-        FROM scope s JOIN pos_at p USING (sample_id) JOIN img i ON i.image_id = p.image_id AND i.split = s.split GROUP BY ALL""",
+    "split_scoped_positives": with_cte(*_ALL, more=_SCOPE) + """SELECT sample_id, split, string_agg(image_id, ',' ORDER BY i) AS positives
+        FROM (SELECT s.sample_id, s.split, p.image_id, p.i FROM scope s JOIN pos_at p USING (sample_id)) WHERE (image_id, split) IN (SELECT image_id, split FROM img)
+        GROUP BY sample_id, split""",
     "public_samples": with_cte("smp") + """SELECT sample_id, case_type, query_image_id,
         array_to_string(list_transform(subjects, lambda s: s.subject_id::VARCHAR), ',') AS subject_ids, final_desc, final_change, final_instruction FROM smp""",
     "required_identities": with_cte("smp", "req") + """SELECT sample_id, subject_id, string_agg(identity_id, ',' ORDER BY identity_id) AS identity_ids,
