@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["references", "dataset", "geometry", "retrieval"]
+MODULES = ["references", "dataset", "geometry", "retrieval", "texts", "matching"]
 
 
 def core_queries() -> list:

@@ -113,7 +113,7 @@ def report_pivot(spark: SparkSession, d: str) -> DataFrame:
         m = m.withColumn("method", F.lit(name))
         rows = m if rows is None else rows.unionByName(m)
     p = rows.groupBy("method").pivot("case_type", c.CASES).agg(F.avg("ap"))
-    return p.select("method", *[F.round(F.col(x) * 100, 4).alias(x.lower()) for x in c.CASES])
+    return p.select("method", *[F.round(F.col(x) * 100, 4).alias(f"map_{x.lower()}") for x in c.CASES])
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +249,7 @@ ORACLE = {
         SELECT round(overall, 6) AS overall, round(macro, 6) AS macro, round((overall + macro) / 2, 6) AS score FROM r""",
     "report_pivot": with_cte(*_C, more=f"{_HEAD}, {_SIZES}, {_metrics('final', 'final_rank', 'mf')}, {_metrics('final', 'coarse_rank', 'mc')}")
     + ", a AS (SELECT 'coarse' AS method, sample_id, ap FROM mc UNION ALL SELECT 'final', sample_id, ap FROM mf) SELECT method, "
-    + ", ".join(f"round(100 * avg(ap) FILTER (WHERE case_type = '{x}'), 4) AS {x.lower()}" for x in c.CASES)
+    + ", ".join(f"round(100 * avg(ap) FILTER (WHERE case_type = '{x}'), 4) AS map_{x.lower()}" for x in c.CASES)
     + " FROM a JOIN smp USING (sample_id) GROUP BY method",
     "calibration_grid": with_cte(*_C, more=_GRID) + "SELECT * FROM scores",
     "calibration_winner": with_cte(*_C, more=_GRID) + "SELECT * FROM scores ORDER BY score DESC, grid_index LIMIT 1",
