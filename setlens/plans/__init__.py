@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["references", "dataset", "geometry", "retrieval", "texts", "matching"]
+MODULES = ["references", "dataset", "geometry", "retrieval", "texts", "matching", "sampling", "objectives", "provenance", "streams"]
 
 
 def core_queries() -> list:
