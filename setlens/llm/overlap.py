@@ -65,9 +65,10 @@ def band_hashes(bands: int, rows: int):
 
 
 def _signature(hashed: Column, half: int) -> Column:
-    """64 bits, one for each word by six bits of its hash."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.shiftrightunsigned(x, half * 6) % 64).cast("int"))
-    return F.aggregate(hashed, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(bit(x)))
+    """Half of a 128-bit signature: each word sets one bit of one half, by seven bits of its hash."""
+    mine = F.filter(hashed, lambda x: F.shiftrightunsigned(x, 6) % 2 == half)
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)).cast("int"))
+    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
 
 def similar_across(
