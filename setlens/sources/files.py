@@ -31,7 +31,7 @@ def read_split_lists(spark: SparkSession, folder: str, splits: tuple[str, ...] =
     out = None
     for split in splits:
         lines = spark.read.option("wholetext", "true").text(f"{folder}/{split}.txt")
-        ids = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != "")
+        ids = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
         one = lines.select(F.posexplode(ids).alias("split_pos", "sample_id")).select("sample_id", F.lit(split).alias("split"), F.col("split_pos").cast("bigint").alias("split_pos"))
         out = one if out is None else out.unionByName(one)
     return out
