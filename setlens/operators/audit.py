@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,3 +39,18 @@ def disputed(votes: DataFrame) -> DataFrame:
     """(class_key, image_id, yes, no) of images on which the samples of a class differ."""
     counts = votes.groupBy("class_key", "image_id").agg(F.count(F.when(F.col("vote"), 1)).alias("yes"), F.count(F.when(~F.col("vote"), 1)).alias("no"))
     return counts.where("yes > 0 AND no > 0")
+
+
+def running_total(df: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """df with name: the sum of value over the rows before each one in its group's order.
+
+    Rows are range-partitioned by group and order; a group of any size is spread over the ranges, and only one sum per
+    group and range goes through a window of its own.
+    """
+    ranged = df.withColumn("_v", value).repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged)
+    sums = ranged.groupBy(group, "_part").agg(F.sum("_v").alias("_s"))
+    starts = sums.withColumn("_start", F.sum("_s").over(Window.partitionBy(group).orderBy("_part")) - F.col("_s")).drop("_s")
+    upto = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = ranged.withColumn("_w", F.sum("_v").over(upto) - F.col("_v"))
+    return within.join(starts, [group, "_part"]).withColumn(name, F.col("_start") + F.col("_w")).drop("_v", "_part", "_w", "_start")

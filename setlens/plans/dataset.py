@@ -16,8 +16,9 @@ SPLITS = ["train", "val", "test"]
 
 
 def split_gallery(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("split").orderBy("gallery_pos", "image_id"))
-    return c.images(spark, d).where(F.col("split").isin(*SPLITS)).select("split", "image_id", rank.cast("bigint").alias("split_pos"))
+    i = c.images(spark, d).where(F.col("split").isin(*SPLITS))
+    placed = audit.running_total(i, "split", ["gallery_pos", "image_id"], F.lit(1).cast("bigint"), "before")
+    return placed.select("split", "image_id", (F.col("before") + 1).alias("split_pos"))
 
 
 def scoped_samples(spark: SparkSession, d: str) -> DataFrame:
