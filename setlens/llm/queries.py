@@ -148,10 +148,12 @@ def split_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, members = split_pairs(spark, d)
-    left = members.where("is_left").select(F.col("rep").alias("left_rep"), F.col("id").alias("x"))
-    right = members.where("is_right").select(F.col("rep").alias("right_rep"), F.col("id").alias("y"))
+    left = members.where("is_left").select(F.col("rep").alias("left_rep"), F.col("id").alias("x"), F.col("is_right").alias("x_right"))
+    right = members.where("is_right").select(F.col("rep").alias("right_rep"), F.col("id").alias("y"), F.col("is_left").alias("y_left"))
     both = pairs.join(left, "left_rep").join(right, "right_rep")
-    return both.select(F.least("x", "y").alias("sample_a"), F.greatest("x", "y").alias("sample_b")).distinct()
+    # two samples that each stand on both sides meet twice; keeping one of the two spares a distinct over all pairs
+    once = both.where((F.col("x") <= F.col("y")) | ~F.col("x_right") | ~F.col("y_left"))
+    return once.select(F.least("x", "y").alias("sample_a"), F.greatest("x", "y").alias("sample_b"))
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
