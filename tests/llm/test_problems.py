@@ -304,6 +304,8 @@ CASES = [
     ("« C'est lui ! » a noté le relecteur. Vraiment ? Oui", ["« C'est lui ! » a noté le relecteur.", "Vraiment ?", "Oui"]),
     (" \n　", []),
     (" odd. Two", [" odd.", "Two"]),
+    ("It turns.戴面具。끝났다.또 9.字", ["It turns.", "戴面具。", "끝났다.", "또 9.", "字"]),
+    ("El n.º 9 sale. Fin", ["El n.º 9 sale.", "Fin"]),
     ("🙂 One 🙂. Two 🙂", ["🙂 One 🙂.", "Two 🙂"]),
 ]
 
