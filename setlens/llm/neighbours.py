@@ -3,7 +3,8 @@
 Equal vectors form one class with its smallest ids, so a group of copies of any size is one entry of the index. Lists are
 the nearest of about sqrt(N) centroids, fitted on at most SAMPLE vectors; every vector is indexed. A list longer than
 BLOCK is divided into units. Each unit first compares its own vectors, which gives every query a true bound on its
-distance to the k-th neighbour; the query then visits the units of its PROBES nearest lists. There the vectors, turned by
+distance to the k-th neighbour; the query then visits the units of those of its PROBES nearest lists that the bound
+leaves open (the plane between two centroids is nearer than the bound). There the vectors, turned by
 a random rotation, are read in blocks of columns: after each block a hypothesis test on the partial distance gives up the
 candidates that cannot lie within the bound (the partial distance, scaled up, exceeds the bound by a factor that grows
 with the uncertainty at so few columns). What survives all blocks gets its exact cosine in double precision. Queries of a
@@ -140,7 +141,7 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = WIDTH, probes: int = PR
         first_unit[x], number = number, number + units[x]
     where = spark.createDataFrame([(x, first_unit[x], units[x]) for x in units], "list int, first int, n int")
     routed = routed.join(F.broadcast(where), "list")  # one row a centroid
-    routed = routed.select("rep", "raw", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("n"))).cast("int").alias("unit"))
+    routed = routed.select("rep", "raw", "list", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("n"))).cast("int").alias("unit"))
 
     def home(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
@@ -161,9 +162,15 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = WIDTH, probes: int = PR
             best = _best(qi, ids[ci], s, top)
             out.append((-1, ids[at + qi[best]].tobytes(), ids[ci[best]].tobytes(), s[best].tobytes(), None))
         near = x.astype(np.float32) @ centres.T
+        # a list's vectors are nearer to its centroid than to this one, so they lie beyond the plane between the two
+        own = int(pdf["list"].iloc[0])
+        apart = np.maximum(np.linalg.norm(centres - centres[own], axis=1), 1e-6)
+        beyond = (near[:, [own]] - near) / apart
+        beyond[:, own] = 0.0
         many = min(probes, near.shape[1])
         goes = np.argpartition(-near, many - 1, axis=1)[:, :many]
-        who, to = np.repeat(np.arange(n), many), goes.ravel()
+        open_ = np.take_along_axis(beyond, goes, 1) <= np.sqrt(np.maximum(bound, 0.0))[:, None] + 1e-3
+        who, to = np.repeat(np.arange(n), many)[open_.ravel()], goes.ravel()[open_.ravel()]
         order = np.argsort(to, kind="stable")
         who, to = who[order], to[order]
         edges = np.flatnonzero(np.r_[True, np.diff(to) != 0, True])
