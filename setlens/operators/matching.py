@@ -63,29 +63,32 @@ def assign(utility: np.ndarray) -> np.ndarray:
 def partial_assignment(edges: DataFrame) -> DataFrame:
     """(qid, iid, q, t, gain) of the best partial one-to-one assignment of every (qid, iid).
 
-    edges: qid, iid, q, t, gain with gain > 0; persons of one image bound the size of a group. Pairs without an edge to
-    share need no solver: an edge that is the only one of both its ends is taken as it is.
+    edges: qid, iid, q, t, gain with gain > 0. The edges of one (qid, iid) become one row (the persons of two images bound
+    it), so a batch of many assignments goes to Python at once; where no two edges share an end, none has to go.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["q", "t"])
-        qs, ts = np.unique(pdf["q"]), np.unique(pdf["t"])
-        gain = np.zeros((len(qs), len(ts)))
-        gain[np.searchsorted(qs, pdf["q"]), np.searchsorted(ts, pdf["t"])] = pdf["gain"]
-        got = assign(gain)
-        rows = np.flatnonzero(got >= 0)
-        return pd.DataFrame({"qid": pdf["qid"].iloc[0], "iid": pdf["iid"].iloc[0], "q": qs[rows], "t": ts[got[rows]], "gain": gain[rows, got[rows]]})
-
-    from pyspark.sql.window import Window
-
-    same_q = F.count(F.lit(1)).over(Window.partitionBy("qid", "iid", "q"))
-    same_t = F.count(F.lit(1)).over(Window.partitionBy("qid", "iid", "t"))
-    counted = edges.select("qid", "iid", "q", "t", "gain").withColumn("nq", same_q).withColumn("nt", same_t)
-    contested = F.max(F.greatest("nq", "nt")).over(Window.partitionBy("qid", "iid"))
-    counted = counted.withColumn("most", contested)
-    alone = counted.where("most = 1").select("qid", "iid", "q", "t", "gain")
-    solved = counted.where("most > 1").select("qid", "iid", "q", "t", "gain").groupBy("qid", "iid").applyInPandas(solve, edges.select("qid", "iid", "q", "t", "gain").schema)
-    return alone.unionByName(solved)
+    entry = F.struct("q", "t", "gain")
+    per = edges.groupBy("qid", "iid").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    kind = per.schema["e"].dataType.simpleString()
+
+    @F.pandas_udf(kind)
+    def solve(groups: pd.Series) -> pd.Series:
+        out = []
+        for group in groups:
+            if group is None:
+                out.append(None)
+                continue
+            q, t, g = (np.array([x[n] for x in group]) for n in ("q", "t", "gain"))
+            qs, ts = np.unique(q), np.unique(t)
+            gain = np.zeros((len(qs), len(ts)))
+            gain[np.searchsorted(qs, q), np.searchsorted(ts, t)] = g
+            got = assign(gain)
+            out.append([{"q": int(qs[r]), "t": int(ts[c]), "gain": float(gain[r, c])} for r, c in enumerate(got) if c >= 0])
+        return pd.Series(out)
+
+    alone = (F.size(F.array_distinct("e.q")) == F.size("e")) & (F.size(F.array_distinct("e.t")) == F.size("e"))
+    # one pass over the groups: those that need no solver reach Python as null
+    chosen = per.select("qid", "iid", F.coalesce(solve(F.when(~alone, F.col("e"))), "e").alias("e"))
+    return chosen.select("qid", "iid", F.explode("e").alias("x")).select("qid", "iid", "x.q", "x.t", "x.gain")
 
 
 def token_score(a: Column, b: Column, tokens: int, k: int) -> Column:

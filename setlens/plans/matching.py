@@ -11,7 +11,7 @@ from setlens.operators import matching as m
 from setlens.plans import catalog as c
 from setlens.plans import retrieval
 from setlens.plans.catalog import with_cte
-from setlens.shared import table
+from setlens.shared import cut, table
 
 SELECTION, IDENTITY, PENALTY, TOKENS, TOP = 0.5, 0.2, 1.1, 4, 6
 
@@ -20,7 +20,7 @@ def persons(spark: SparkSession, d: str) -> DataFrame:
     """(gallery_index, person_id, vec, box columns) of persons with a usable vector."""
     p = table(spark, d, "persons").where("size(identity_vec) = 64 AND forall(identity_vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < 1e30) AND exists(identity_vec, x -> x <> 0)")
     p = p.select(c.plain_image(F.col("image_id")).alias("image_id"), "person_id", F.col("identity_vec").alias("vec"), *[F.col(x).cast("double").alias(x) for x in ("x1", "y1", "x2", "y2")]).distinct()
-    return p.join(c.gallery(spark, d), "image_id").select(F.col("gallery_pos").alias("gallery_index"), "person_id", "vec", "x1", "y1", "x2", "y2")
+    return p.join(c.gallery(spark, d), "image_id").select(F.col("gallery_pos").alias("gallery_index"), "person_id", "vec", v.norm(F.col("vec")).alias("norm"), "x1", "y1", "x2", "y2")
 
 
 def query_persons(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def query_persons(spark: SparkSession, d: str) -> DataFrame:
     logit = F.round(6 * F.element_at(v.doubles(F.col("vec")), F.col("subject_id").cast("int") + 1), 6)
     per = q.groupBy("sample_id", F.col("person_id").alias("q")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("subject_id").alias("subject"), logit.alias("logit")))).alias("logits"),
-        F.first("vec").alias("vec"), *[F.first(x).alias(x) for x in ("x1", "y1", "x2", "y2")],
+        *[F.first(x).alias(x) for x in ("vec", "norm", "x1", "y1", "x2", "y2")],
     )
     return per
 
@@ -42,7 +42,7 @@ def membership(spark: SparkSession, d: str) -> DataFrame:
     q = q.where((F.col("o.confidence") >= SELECTION) & (F.col("o.p_owner") > 1 - F.col("o.confidence")))
     entry = F.struct(F.round("o.confidence", 9).alias("priority"), F.col("q").alias("slot"), "x1", "y1", "x2", "y2")
     kept = q.groupBy("sample_id").agg(F.collect_list(entry).alias("b")).select("sample_id", F.explode(g.keep_boxes(F.col("b"), 0.9)).alias("q"))
-    return q.join(kept, ["sample_id", "q"], "left_semi").select("sample_id", "q", F.col("o.owner").alias("subject"), F.round("o.confidence", 9).alias("weight"), "vec")
+    return q.join(kept, ["sample_id", "q"], "left_semi").select("sample_id", "q", F.col("o.owner").alias("subject"), F.round("o.confidence", 9).alias("weight"), "vec", "norm")
 
 
 def exclusive_membership(spark: SparkSession, d: str) -> DataFrame:
@@ -53,11 +53,19 @@ def short(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.topm_shortlist(spark, d).select("sample_id", "gallery_index")
 
 
+def similarity():
+    """Cosine of vec and t_vec from norms that are made once per vector."""
+    return F.round(v.dot(F.col("vec"), F.col("t_vec")) / F.greatest(F.col("norm") * F.col("t_norm"), F.lit(1e-12)), 9)
+
+
 def maxsim_coarse(spark: SparkSession, d: str) -> DataFrame:
     """Weighted mean over query persons of their best target, per subject, then over subjects; minus infinity without targets, 0 without query persons."""
-    targets = persons(spark, d).select("gallery_index", F.col("vec").alias("t_vec"))
-    pairs = short(spark, d).join(query_persons(spark, d).select("sample_id", "q", "vec", F.explode("logits").alias("l")), "sample_id").join(targets, "gallery_index")
-    best = pairs.groupBy("sample_id", "gallery_index", "l.subject", "q").agg(F.max(F.round(v.cosine(F.col("vec"), F.col("t_vec")), 9)).alias("best"), F.first(v.sigmoid(F.col("l.logit"))).alias("w"))
+    targets = persons(spark, d).select("gallery_index", F.col("vec").alias("t_vec"), F.col("norm").alias("t_norm"))
+    pairs = short(spark, d).join(query_persons(spark, d).select("sample_id", "q", "vec", "norm", "logits"), "sample_id").join(targets, "gallery_index")
+    # the best target of a query person is the same for all subjects
+    best = pairs.groupBy("sample_id", "gallery_index", "q").agg(F.max(similarity()).alias("best"), F.first("logits").alias("logits"))
+    best = best.select("sample_id", "gallery_index", "q", "best", F.explode("logits").alias("l"))
+    best = best.select("sample_id", "gallery_index", "best", F.col("l.subject").alias("subject"), v.sigmoid(F.col("l.logit")).alias("w"))
     per = best.groupBy("sample_id", "gallery_index", "subject").agg((F.sum(F.col("w") * F.col("best")) / F.greatest(F.sum("w"), F.lit(1e-6))).alias("s"))
     score = per.groupBy("sample_id", "gallery_index").agg(F.avg("s").alias("score"))
     has = persons(spark, d).select("gallery_index", F.lit(True).alias("has")).distinct()
@@ -66,20 +74,19 @@ def maxsim_coarse(spark: SparkSession, d: str) -> DataFrame:
     return out.select("sample_id", "gallery_index", value.alias("score"))
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
+def edges(spark: SparkSession, d: str, mem: DataFrame | None = None) -> DataFrame:
     """(qid, iid, q, t, gain): possible matches; gain is the member's share in its subject times the similarity above the threshold."""
-    mem = membership(spark, d)
+    mem = membership(spark, d) if mem is None else mem
     share = mem.groupBy("sample_id", "subject").agg(F.sum("weight").alias("all"))
     mem = mem.join(share, ["sample_id", "subject"]).withColumn("share", F.col("weight") / F.greatest("all", F.lit(1e-6)))
-    targets = persons(spark, d).select("gallery_index", F.col("person_id").alias("t"), F.col("vec").alias("t_vec"))
+    targets = persons(spark, d).select("gallery_index", F.col("person_id").alias("t"), F.col("vec").alias("t_vec"), F.col("norm").alias("t_norm"))
     pairs = short(spark, d).join(mem, "sample_id").join(targets, "gallery_index")
-    cos = F.round(v.cosine(F.col("vec"), F.col("t_vec")), 9)
-    pairs = pairs.withColumn("cos", cos).where(F.col("cos") > IDENTITY)
+    pairs = pairs.withColumn("cos", similarity()).where(F.col("cos") > IDENTITY)
     return pairs.select(F.col("sample_id").alias("qid"), F.col("gallery_index").alias("iid"), "q", "t", F.round(F.col("share") * (F.col("cos") - IDENTITY), 9).alias("gain"))
 
 
-def assignment(spark: SparkSession, d: str) -> DataFrame:
-    return m.partial_assignment(edges(spark, d).where("gain > 0"))
+def assignment(spark: SparkSession, d: str, mem: DataFrame | None = None) -> DataFrame:
+    return m.partial_assignment(edges(spark, d, mem).where("gain > 0"))
 
 
 def partial_assignment(spark: SparkSession, d: str) -> DataFrame:
@@ -89,8 +96,8 @@ def partial_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 def binding_poolings(spark: SparkSession, d: str) -> DataFrame:
     """Poolings and coverage of shortlisted images from the token scores of matched members."""
-    mem = membership(spark, d)
-    got = assignment(spark, d).select(F.col("qid").alias("sample_id"), F.col("iid").alias("gallery_index"), "q", "t")
+    mem = cut(membership(spark, d))
+    got = assignment(spark, d, mem).select(F.col("qid").alias("sample_id"), F.col("iid").alias("gallery_index"), "q", "t")
     targets = persons(spark, d).select("gallery_index", F.col("person_id").alias("t"), F.col("vec").alias("t_vec"))
     all_ = short(spark, d).join(mem, "sample_id").join(got, ["sample_id", "gallery_index", "q"], "left").join(targets, ["gallery_index", "t"], "left")
     score = m.token_score(F.col("vec"), F.col("t_vec"), TOKENS, TOP)
