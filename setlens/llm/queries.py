@@ -215,6 +215,19 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentence_rows(spark, d).select("doc_id", "seq", "sentence")
 
 
+# full-width forms and two ligatures: the part of NFKC that these texts need
+_WIDE, _PLAIN = ("".join(chr(first + k) for k in range(94)).replace("'", "''") for first in (0xFF01, 0x21))
+_OVERLAP = f"""
+WITH listed AS (
+  SELECT regexp_replace(sample_id, '^\\s+|\\s+$', '', 'g') AS id, coalesce(bool_or(lower(trim(split)) = 'train'), false) AS train,
+    coalesce(bool_or(lower(trim(split)) = 'val'), false) AS val, coalesce(bool_or(lower(trim(split)) = 'test'), false) AS test FROM sample_splits GROUP BY 1),
+texts AS (SELECT trim(sample_id) AS id, min(final_instruction) AS t, min(annotator) AS annotator FROM samples GROUP BY 1),
+words AS (SELECT listed.*, annotator, list_distinct(regexp_extract_all(lower(replace(replace(translate(t, '{_WIDE}', '{_PLAIN}'), 'ﬁ', 'fi'), 'ﬂ', 'fl')),
+    '[\\p{{L}}\\p{{N}}]+')) AS w FROM listed JOIN texts USING (id) WHERE t IS NOT NULL),
+pairs AS (SELECT a.id AS x, b.id AS y, b.val, b.test, b.annotator FROM words a JOIN words b ON a.train AND (b.val OR b.test) AND len(a.w) > 0
+    AND len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))))
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -263,4 +276,8 @@ ORACLE = {
             PARTITION BY a.id ORDER BY round(list_inner_product(a.v, b.v) / (a.n * b.n), 9) DESC, b.id) AS r
           FROM normed a JOIN normed b ON a.id <> b.id)
         SELECT DISTINCT least(a, b) AS person_a, greatest(a, b) AS person_b FROM sims WHERE r <= 5""",
+    "p6_found": _OVERLAP + "SELECT DISTINCT least(x, y) AS sample_a, greatest(x, y) AS sample_b FROM pairs",
+    "p6_report": _OVERLAP
+    + """SELECT split, annotator, count(DISTINCT y) AS samples, count(*) AS pairs FROM (
+           SELECT 'val' AS split, annotator, y FROM pairs WHERE val UNION ALL SELECT 'test', annotator, y FROM pairs WHERE test) GROUP BY split, annotator""",
 }
