@@ -138,8 +138,8 @@ _EDGES = f"""mw AS (SELECT *, weight / greatest(sum(weight) OVER (PARTITION BY s
 ec AS (SELECT sample_id, gallery_index, q, person_id AS t, share, round({_COS.format(a='mw.vec', b='p.vec')}, 9) AS cos FROM short JOIN mw USING (sample_id) JOIN pers p USING (gallery_index)),
 edge AS MATERIALIZED (SELECT sample_id, gallery_index, q, t, round(share * (cos - 0.2), 9) AS gain FROM ec WHERE cos > 0.2 AND round(share * (cos - 0.2), 9) > 0),
 slot AS (SELECT sample_id, gallery_index, q, row_number() OVER (PARTITION BY sample_id, gallery_index ORDER BY q) AS k FROM (SELECT DISTINCT sample_id, gallery_index, q FROM edge)),
-try AS (SELECT sample_id, gallery_index, 0::BIGINT AS k, []::BIGINT[] AS used, 0.0::DOUBLE AS total FROM slot WHERE k = 1
-  UNION ALL SELECT t.sample_id, t.gallery_index, t.k + 1, CASE WHEN e.t IS NULL THEN t.used ELSE list_append(t.used, e.t) END, t.total + coalesce(e.gain, 0)
+try AS (SELECT sample_id, gallery_index, 0::BIGINT AS k, []::BIGINT[] AS used, []::BIGINT[] AS qs, 0.0::DOUBLE AS total FROM slot WHERE k = 1
+  UNION ALL SELECT t.sample_id, t.gallery_index, t.k + 1, CASE WHEN e.t IS NULL THEN t.used ELSE list_append(t.used, e.t) END, CASE WHEN e.t IS NULL THEN t.qs ELSE list_append(t.qs, e.q) END, t.total + coalesce(e.gain, 0)
   FROM try t JOIN slot s ON s.sample_id = t.sample_id AND s.gallery_index = t.gallery_index AND s.k = t.k + 1
   JOIN (SELECT * FROM edge UNION ALL SELECT DISTINCT sample_id, gallery_index, q, NULL, 0 FROM edge) e ON e.sample_id = s.sample_id AND e.gallery_index = s.gallery_index AND e.q = s.q
   WHERE e.t IS NULL OR NOT list_contains(t.used, e.t))"""
@@ -157,6 +157,16 @@ ORACLE = {
         s AS (SELECT sample_id, gallery_index, subject, sum(w * best) / greatest(sum(w), 1e-6) AS s FROM b GROUP BY ALL), a AS (SELECT sample_id, gallery_index, avg(s) AS score FROM s GROUP BY ALL)
         SELECT sample_id, gallery_index, CASE WHEN gallery_index NOT IN (SELECT gallery_index FROM pers) THEN {_INF} ELSE round(coalesce(score, 0.0), 6) END AS score FROM short LEFT JOIN a USING (sample_id, gallery_index)""",
     "partial_assignment": _recursive(with_cte(*_BASE, more=f"{_PERS}, {_SHORT}, {_QP}, {_MEM}, {_EDGES}")) + "SELECT sample_id, gallery_index, round(max(total), 6) AS gain FROM try GROUP BY ALL",
+    "binding_poolings": _recursive(with_cte(*_BASE, more=f"{_PERS}, {_SHORT}, {_QP}, {_MEM}, {_EDGES}")) + f""", got AS (SELECT sample_id, gallery_index, unnest(arg_max(qs, total)) AS q, unnest(arg_max(used, total)) AS t
+          FROM try t WHERE k = (SELECT max(k) FROM slot s WHERE s.sample_id = t.sample_id AND s.gallery_index = t.gallery_index) GROUP BY sample_id, gallery_index),
+        tk AS (SELECT got.*, m.vec[i * 16 + 1:i * 16 + 16] AS x, p.vec[j * 16 + 1:j * 16 + 16] AS y FROM got JOIN mem m USING (sample_id, q) JOIN pers p ON p.gallery_index = got.gallery_index AND p.person_id = t, range(4) u(i), range(4) w(j)),
+        sm AS (SELECT sample_id, gallery_index, q, {_COS.format(a='x', b='y')} AS s FROM tk),
+        sc AS (SELECT sample_id, gallery_index, q, avg(s) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, gallery_index, q ORDER BY s DESC) AS r FROM sm) WHERE r <= {TOP} GROUP BY ALL),
+        per AS (SELECT sample_id, gallery_index, subject, sum(weight) AS a, sum(CASE WHEN score IS NULL THEN 0 ELSE weight * score END) AS h, sum(CASE WHEN score IS NULL THEN 0 ELSE weight END) AS m
+          FROM short JOIN mem USING (sample_id) LEFT JOIN sc USING (sample_id, gallery_index, q) GROUP BY ALL),
+        f AS (SELECT sample_id, gallery_index, h / greatest(a, 1e-6) AS h, m / greatest(a, 1e-6) AS m, a / greatest(a, 1e-6) AS w FROM per)
+        SELECT sample_id, gallery_index, round(avg(h - {PENALTY}::DOUBLE * (w - m)), 5) AS penalized, round(CASE WHEN sum(m) = 0 THEN -{PENALTY}::DOUBLE ELSE sum(h) / sum(m) END, 5) AS matched_mean,
+          round(avg(CASE WHEN m = 0 THEN -{PENALTY}::DOUBLE ELSE h / m END), 5) AS subject_mean, round(greatest(0, least(1, avg(m))), 5) AS coverage FROM f GROUP BY ALL""",
     "token_topk": with_cte("gal", more=_PERS) + f""", pr AS (SELECT a.person_id AS person_a, b.person_id AS person_b, a.vec AS a, b.vec AS b FROM pers a JOIN pers b ON a.gallery_index = b.gallery_index AND a.person_id < b.person_id),
         tk AS (SELECT person_a, person_b, a[i * 16 + 1:i * 16 + 16] AS x, b[j * 16 + 1:j * 16 + 16] AS y FROM pr, range(4) t(i), range(4) u(j)),
         sm AS (SELECT person_a, person_b, {_COS.format(a='x', b='y')} AS s FROM tk)
