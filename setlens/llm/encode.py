@@ -3,6 +3,7 @@
 The tokenizer's own pattern first cuts a text into pieces, which never merge with each other. Texts up to LIMIT bytes are
 encoded where they are read. Longer ones become rows of their own: pieces are packed into blocks of about LIMIT bytes,
 and a piece longer than that (text without any break) is cut into equal parts; blocks and parts are encoded in parallel.
+A block keeps the lengths of its pieces: cut by the pattern again it could fall into others, which look past its end.
 The parts of one piece are then joined pairwise as a tree: around each join a growing window of tokens is encoded again
 until its first token is the left side's own and its last token the right side's own. A BPE sequence is the encoding of
 its bytes exactly if every two neighbours are the encoding of theirs, so agreement on both sides makes the join exact.
@@ -83,26 +84,39 @@ def tree_encode(parts: list[list[int]], raws: list[bytes], size, encode) -> list
     return parts[0] if parts else []
 
 
-def blocks(text: str, pattern: str, limit: int = LIMIT) -> Iterator[tuple[int, bool, bytes]]:
-    """(piece, part, bytes): whole pieces packed into blocks, each its own piece number, or the parts of one long piece."""
+def block_ids(enc, raw: bytes, sizes: list[int]) -> list[int]:
+    """The ids of a block from the lengths of its pieces."""
+    out, at = [], 0
+    for n in sizes:
+        out += piece_ids(enc, raw[at : at + n])
+        at += n
+    return out
+
+
+def blocks(text: str, pattern: str, limit: int = LIMIT) -> Iterator[tuple[int, list[int], bytes]]:
+    """(piece, sizes, bytes): whole pieces packed into blocks, each its own piece number, or the parts of one long piece.
+
+    sizes: bytes of each piece in the block; of a part its own.
+    """
     import regex
 
-    number, held = 0, bytearray()
+    number, sizes, held = 0, [], bytearray()
     for m in regex.finditer(pattern, text):
         raw = m.group().encode()
         if held and len(held) + len(raw) > limit:
-            yield number, False, bytes(held)
-            number, held = number + 1, bytearray()
+            yield number, sizes, bytes(held)
+            number, sizes, held = number + 1, [], bytearray()
         if len(raw) <= limit:
             held += raw
+            sizes.append(len(raw))
             continue
         n = 1 << (-(-len(raw) // limit) - 1).bit_length()  # halves of halves
         edges = [len(raw) * k // n for k in range(n + 1)]
         for a, b in zip(edges, edges[1:]):
-            yield number, True, raw[a:b]
+            yield number, [b - a], raw[a:b]
         number += 1
     if held:
-        yield number, False, bytes(held)
+        yield number, sizes, bytes(held)
 
 
 def encode_texts(
@@ -124,18 +138,16 @@ def encode_texts(
         for pdf in batches:
             for row, id_, text in zip(pdf["row"], pdf["id"], pdf["text"]):
                 parts = list(blocks(text, pattern, limit))
-                pieces, part, raw = zip(*parts)
+                pieces, sizes, raw = zip(*parts)
                 yield pd.DataFrame(
-                    {"row": row, "id": id_, "seq": range(len(parts)), "piece": pieces, "part": part, "raw": raw}
+                    {"row": row, "id": id_, "seq": range(len(parts)), "piece": pieces, "sizes": sizes, "raw": raw}
                 )
 
     def encode_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(path, pattern)
         for pdf in batches:
-            ids = [
-                piece_ids(enc, raw) if part else enc.encode_ordinary(raw.decode()) for raw, part in zip(pdf["raw"], pdf["part"])
-            ]
-            yield pdf.assign(ids=ids).drop(columns="part")
+            ids = [block_ids(enc, raw, sizes) for raw, sizes in zip(pdf["raw"], pdf["sizes"])]
+            yield pdf.assign(ids=ids).drop(columns="sizes")
 
     def put_together(pdf: pd.DataFrame) -> pd.DataFrame:
         enc = encoding(path, pattern)
@@ -149,9 +161,9 @@ def encode_texts(
     shorts = texts.where(~is_long).select("id", short("text").alias("ids"))
     # equal ids must not run together, so every long row has a number of its own; it is fixed before the shuffle
     longs = texts.where(is_long).withColumn("row", F.monotonically_increasing_id())
-    columns = f"row bigint, id {kind}, seq int, piece int, part boolean, raw binary"
+    columns = f"row bigint, id {kind}, seq int, piece int, sizes array<int>, raw binary"
     parts = cut(longs.mapInPandas(cut_up, columns)).repartition("row", "seq")
-    encoded = parts.mapInPandas(encode_parts, columns.replace(" part boolean,", "") + ", ids array<int>")
+    encoded = parts.mapInPandas(encode_parts, columns.replace(" sizes array<int>,", "") + ", ids array<int>")
     joined = encoded.groupBy("row").applyInPandas(put_together, f"id {kind}, ids array<int>")
     return shorts.unionByName(joined)
 

@@ -239,6 +239,14 @@ def test_encoding_equals_the_tokenizer_for_long_and_odd_texts(spark):
     assert got == want
 
 
+def test_blocks_keep_the_pieces_at_every_border(spark):
+    enc = encode.encoding(*encode.default_vocabulary())
+    texts = ["x" * k + " a.\n\nFoo\t\tbar  9\r\n\r\n." * 12 for k in range(64)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["id"]: list(r["ids"]) for r in encode.encode_texts(df, "doc_id", "text", limit=64).collect()}
+    assert got == {i: enc.encode_ordinary(x) for i, x in enumerate(texts)}
+
+
 # ---- 8
 
 
