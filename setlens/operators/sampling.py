@@ -134,14 +134,17 @@ def top_up_partial(pool: dict, row: list, free: int, quota: int, slots: list[set
 def candidate_row(
     query: str, positives: list, identity: list, semantic: list, hard: list, partial: dict, gallery: list, slots: list[set],
     size: int = 16, most_positives: int = 2, f_identity: float = 0.5, f_semantic: float = 0.3, f_hard: float = 0.1, partial_quota: int = 4,
-    context: list = (),
+    context: list = (), known: set | None = None,
 ) -> list[tuple]:
-    """(item, role) of one query's candidates: tiers fill in turn, each leaves out what is taken. semantic and hard: hardest first."""
+    """(item, role) of one query's candidates: tiers fill in turn, each leaves out what is taken. semantic and hard: hardest first.
+
+    known: all images that may be taken, where gallery holds only those that the fill can reach.
+    """
     draw = lambda items, k: sorted(dict.fromkeys(items), key=lambda i: (_key(query, k, i), i))
     taken = {query, *positives}
     row: list[tuple] = [(i, "positive") for i in draw(positives, "p")[: max(0, min(most_positives, len(positives), size - 1))]]
     negatives = size - len(row)
-    known = set(gallery)
+    known = set(gallery) if known is None else known
 
     def tier(items: list, n: int, role: str, window: bool = False) -> int:
         free = [i for i in dict.fromkeys(items) if i in known and i not in taken]
@@ -168,7 +171,8 @@ def candidate_rows(pools: DataFrame, **options) -> DataFrame:
     """(sample_id, pos, gallery_index, role) for one row per query with its pools; see candidate_row.
 
     pools: sample_id, query_index, positives, identity, semantic, hard, fill (array<bigint>), partial
-    (array<struct<item, missing array<string>, slots array<int>, overlap>>), slots (array<array<string>>).
+    (array<struct<item, missing array<string>, slots array<int>, overlap>>), slots (array<array<string>>). All pools are of
+    the query's gallery and hold no positive but those of positives; fill may be the part of it that is drawn first.
     """
 
     def run(batches):
@@ -176,8 +180,9 @@ def candidate_rows(pools: DataFrame, **options) -> DataFrame:
             out = []
             for r in pdf.itertuples():
                 partial = {p["item"]: (frozenset(p["missing"]), frozenset(p["slots"]), p["overlap"]) for p in r.partial}
+                known = {i for pool in (r.identity, r.semantic, r.hard, r.fill) for i in pool}
                 row = candidate_row(
-                    r.query_index, list(r.positives), list(r.identity), list(r.semantic), list(r.hard), partial, list(r.fill), [set(s) for s in r.slots], **options
+                    r.query_index, list(r.positives), list(r.identity), list(r.semantic), list(r.hard), partial, list(r.fill), [set(s) for s in r.slots], known=known, **options
                 )
                 out += [(r.sample_id, k, i, role) for k, (i, role) in enumerate(row)]
             yield pd.DataFrame(out, columns=["sample_id", "pos", "gallery_index", "role"])

@@ -8,12 +8,13 @@ from pyspark.sql.window import Window
 
 from setlens.functions import vectors as v
 from setlens.operators import sampling as s
-from setlens.operators.relational import partial_overlap
 from setlens.plans import catalog as c
 from setlens.plans import matching, retrieval
 from setlens.plans.catalog import with_cte
 from setlens.shared import unit_hash
 
+SIZE = 16  # candidates of a row
+
 
 def derive_seed(spark: SparkSession, d: str) -> DataFrame:
     i = F.substring("sample_id", -6, 6).cast("bigint")
@@ -34,30 +35,43 @@ def uniform_negatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_quota(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of every ranked query: positives, same-identity and hard images, partial matches, then random ones."""
+    """Candidates of every ranked query: positives, same-identity and hard images, partial matches, then random ones.
+
+    A row of SIZE takes from each tier by its own order and leaves out at most what it holds already, so the first SIZE of a
+    drawn tier, twice as many of a hard one (drawn from the 2n hardest), and all partial matches give the row of whole pools.
+    """
     ranked = retrieval.coarse_ranked(spark, d).select("sample_id", "query_index", "gallery_index", "coarse_rank")
-    at = c.image_identity(spark, d).join(c.gallery(spark, d), "image_id").select(F.col("gallery_pos").alias("iid"), F.col("identity_id").alias("key"))
-    req = c.required(spark, d).select(F.col("sample_id").alias("qid"), F.col("subject_id").alias("subject"), F.col("identity_id").alias("key")).distinct()
-    part = partial_overlap(req, at).select(F.col("qid").alias("sample_id"), F.col("iid").alias("gallery_index"), "missing", F.transform("missing_subjects", lambda x: (x - 1).cast("int")).alias("slots"), F.col("overlap").cast("int").alias("overlap"))
-    part = part.join(ranked.select("sample_id", "gallery_index"), ["sample_id", "gallery_index"], "left_semi")
-    parts = part.groupBy("sample_id").agg(F.collect_list(F.struct(F.col("gallery_index").alias("item"), "missing", "slots", "overlap")).alias("partial"))
-    same = req.select(F.col("qid").alias("sample_id"), "key").distinct().join(at, "key").select("sample_id", F.col("iid").alias("gallery_index"), F.lit(True).alias("same")).distinct()
+    at = c.image_identity(spark, d).join(c.gallery(spark, d), "image_id").groupBy(F.col("gallery_pos").alias("gallery_index")).agg(F.collect_set("identity_id").alias("has"))
+    req = c.required(spark, d).groupBy("sample_id", F.col("subject_id").alias("subject")).agg(F.array_sort(F.collect_set("identity_id")).alias("keys"))
+    req = req.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("subject", "keys"))).alias("subjects"))
     pos = c.positives(spark, d).withColumn("positive", F.lit(True))
-    r = ranked.join(same, ["sample_id", "gallery_index"], "left").join(pos, ["sample_id", "gallery_index"], "left")
-    # pools hold the hardest 64 of each kind and 256 random ones, far more than a row takes
-    kind = F.when(F.col("positive"), "positives").when(F.col("same"), "identity").otherwise("hard")
-    r = r.withColumn("kind", kind).withColumn("k", F.row_number().over(Window.partitionBy("sample_id", "kind").orderBy("coarse_rank")))
-    fill = F.row_number().over(Window.partitionBy("sample_id").orderBy(unit_hash("fill", F.col("sample_id"), F.col("gallery_index")), "gallery_index"))
-    drawn = r.withColumn("f", fill).where("f <= 256").groupBy("sample_id").agg(F.array_sort(F.collect_set("gallery_index")).alias("fill"))
-    of = lambda x: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == x, F.struct("k", "gallery_index")))), lambda y: y["gallery_index"]).alias(x)
-    pools = r.where("k <= 64").groupBy("sample_id", "query_index").agg(*[of(x) for x in ("positives", "identity", "hard")])
-    slots = req.groupBy("qid", "subject").agg(F.array_sort(F.collect_set("key")).alias("keys")).groupBy(F.col("qid").alias("sample_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("subject", "keys"))), lambda y: y["keys"]).alias("slots")
+    r = ranked.join(at, "gallery_index", "left").join(pos, ["sample_id", "gallery_index"], "left").join(req, "sample_id")
+    every = F.array_distinct(F.flatten("subjects.keys"))
+    r = r.withColumn("have", F.coalesce(F.array_intersect(every, "has"), F.array().cast("array<string>"))).drop("has")
+    r = r.withColumn("kind", F.when(F.col("positive"), "positives").when(F.size("have") > 0, "identity").otherwise("hard"))
+    key = lambda tier: F.sha2(F.concat_ws(":", "query_index", tier, "gallery_index"), 256)  # noqa: E731  as candidate_row draws
+    place = lambda by, *order: F.row_number().over(Window.partitionBy("sample_id", by).orderBy(*order))
+    negative = F.col("kind") != "positives"
+    r = r.withColumn("drawn", place("kind", key(F.when(negative, "same_identity").otherwise("p")), "gallery_index"))
+    r = r.withColumn("hardest", place("kind", "coarse_rank")).withColumn("f", place("positive", key(F.lit("random")), "gallery_index"))
+    is_partial = negative & (F.size("have") > 0) & (F.size("have") < F.size(every))
+    gone = F.filter("subjects", lambda x: ~F.arrays_overlap(x["keys"], F.col("have")))
+    partial = F.struct(
+        F.col("gallery_index").alias("item"), F.array_sort(F.array_except(every, "have")).alias("missing"),
+        F.transform(gone, lambda x: (x["subject"] - 1).cast("int")).alias("slots"), F.size("have").alias("overlap"),
+    )
+    tiers = {
+        "positives": (~negative & (F.col("drawn") <= SIZE), "drawn"),
+        # one more than a row tells whether the pool is larger than any quota
+        "identity": ((F.col("kind") == "identity") & ((F.col("drawn") <= SIZE + 1) | (F.col("hardest") <= 2 * SIZE)), "hardest"),
+        "hard": ((F.col("kind") == "hard") & (F.col("hardest") <= 2 * SIZE), "hardest"),
+        "fill": (negative & (F.col("f") <= SIZE), "f"),
+    }
+    of = lambda name, when, order: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(order, "gallery_index")))), lambda y: y["gallery_index"]).alias(name)
+    pools = r.groupBy("sample_id", "query_index").agg(
+        *[of(name, *x) for name, x in tiers.items()], F.collect_list(F.when(is_partial, partial)).alias("partial"), F.first("subjects.keys").alias("slots")
     )
-    empty = F.array().cast("array<struct<item:bigint,missing:array<string>,slots:array<int>,overlap:int>>")
-    pools = pools.join(drawn, "sample_id").join(parts, "sample_id", "left").join(slots, "sample_id")
-    pools = pools.select("sample_id", "query_index", "positives", "identity", F.col("identity").alias("semantic"), "hard", "fill", F.coalesce("partial", empty).alias("partial"), "slots")
-    return s.candidate_rows(pools)
+    return s.candidate_rows(pools.withColumn("semantic", F.col("identity")), size=SIZE)
 
 
 def identity_crops(spark: SparkSession, d: str) -> DataFrame:

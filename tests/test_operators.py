@@ -248,6 +248,36 @@ def test_candidate_quotas():
     assert row == sampling.candidate_row(7, gallery[:2], same, same[:40], hard, {}, gallery, [{"A"}], size=32, f_identity=0.5, f_semantic=0.3, f_hard=0.1, partial_quota=0)
 
 
+def test_candidate_rows_are_those_of_whole_pools(spark):
+    from setlens.plans import catalog as c
+    from setlens.plans.sampling import candidate_quota
+
+    d = "/root/testdata/sf0.01"
+    listed = lambda df: {r[0]: r[1] for r in df.collect()}
+    pos = listed(c.positives(spark, d).groupBy("sample_id").agg(F.collect_set("gallery_index")))
+    has = listed(c.image_identity(spark, d).join(c.gallery(spark, d), "image_id").groupBy("gallery_pos").agg(F.collect_set("identity_id")))
+    ranked = c.scored(spark, d).groupBy("sample_id", "query_index").agg(F.array_sort(F.collect_list(F.struct(-F.col("coarse"), "gallery_index"))).alias("all"))
+    req: dict = {}
+    for r in c.required(spark, d).collect():
+        req.setdefault(r["sample_id"], {}).setdefault(r["subject_id"], set()).add(r["identity_id"])
+    want, large = {}, 0
+    for q in ranked.collect():
+        subjects = req.get(q["sample_id"])
+        if not subjects:
+            continue
+        keys, items = set().union(*subjects.values()), [x["gallery_index"] for x in q["all"]]
+        positives = [i for i in items if i in set(pos.get(q["sample_id"], ()))]
+        rest = [i for i in items if i not in set(positives)]
+        have = {i: keys & set(has.get(i, ())) for i in rest}
+        same = [i for i in rest if have[i]]
+        partial = {i: (frozenset(keys - have[i]), frozenset(int(s) - 1 for s, k in subjects.items() if not k & have[i]), len(have[i])) for i in same if len(have[i]) < len(keys)}
+        row = sampling.candidate_row(q["query_index"], positives, same, same, [i for i in rest if not have[i]], partial, rest, [subjects[s] for s in sorted(subjects)])
+        want |= {(q["sample_id"], k): x for k, x in enumerate(row)}
+        large += len(items) > 256
+    got = {(r["sample_id"], r["pos"]): (r["gallery_index"], r["role"]) for r in candidate_quota(spark, d).collect()}
+    assert large and got == want
+
+
 def test_partial_top_up():
     draw = lambda items, k: sorted(items)
     pool = {f"s{i}": (frozenset(["A" if i % 2 else "B"]), frozenset(), 2) for i in range(6)} | {f"m{i}": (frozenset(["A", "B"]), frozenset([0]), 1) for i in range(3)}
