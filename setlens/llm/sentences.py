@@ -4,7 +4,8 @@ Points that end nothing (in numbers, names of files, addresses, abbreviations, i
 inside quotations and brackets) are replaced by private-use placeholders of the same length. What terminators are left
 split the text by the rules of their script, together with blank lines and lines that begin with a list mark. As every
 placeholder takes the place of one code point, the offsets of the pieces hold for the text itself, and restoring a
-sentence is a substring of it.
+sentence is a substring of it. A quotation or bracket reaches to its closing mark within the paragraph (up to a blank
+line), however long it is.
 
 Defined cases: a null, empty or blank text has no sentences; private-use characters of a text stay in it (they are only
 hidden while it is split); repeated rows give repeated sentences; further columns are ignored.
@@ -15,10 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASK, CUT, OPEN, CLOSE, IN, OUT, LIST, FOREIGN = (chr(0xE000 + k) for k in range(8))
+MASK, CUT, OPEN, CLOSE, IN, OUT, LIST, ITEM, FOREIGN = (chr(0xE000 + k) for k in range(9))
 MARKS = ".!?。！？．؟۔।॥｡;"
 ALWAYS = "!?。！？．؟۔।॥｡;"
-QUOTE_LENGTH, BRACKET_LENGTH = 600, 400
 STARTS = 256  # pieces whose starts are summed in one go
 
 # Abbreviations that never end a sentence, and those that do not before a number.
@@ -37,7 +37,8 @@ MONTHS = (
 )
 
 _WORD = r"(?<![\p{L}\p{M}\p{N}])"
-_QUOTED = rf"((?:[^%s%s\n]|\n(?![^\S\n]*\n)){{1,{QUOTE_LENGTH}}}?)"
+# possessive, so that Java takes a long one without recursion
+_QUOTED = r"((?:[^%s%s\n]|\n(?![^\S\n]*\n))++)"
 
 
 def _alternatives(words: str) -> str:
@@ -48,7 +49,8 @@ def _alternatives(words: str) -> str:
     return "|".join(sorted(forms, key=lambda w: (-len(w), w)))
 
 
-def _masks() -> list[tuple[str, str]]:
+def _masks() -> list[tuple[str | tuple[str, str, str], str]]:
+    """(pattern, replacement); the pattern of marks that are enclosed comes with the opening and the closing placeholder."""
     m = MASK
     parts = PARTS.replace("#", f"[.{m}]").replace(" ", r"\s")
     last_point = [
@@ -82,17 +84,17 @@ def _masks() -> list[tuple[str, str]]:
         (r"\.(?=\s+\p{L})(?<=\b(?:[Aa]m|[Vv]om|[Zz]um|[Dd]er|[Dd]em|[Dd]en|[Dd]ie|[Dd]as|[Ii]m|[Bb]eim|[Ss]eit)\s\d{1,3}\.)", m),
         # quotations
         (rf'(?<![\p{{L}}\p{{N}}])"(?=\S){_QUOTED % (chr(34), "")}(?<=\S)"', f"{OPEN}$1{CLOSE}"),
-        (r"(?<![\p{L}\p{M}\p{N}])'(?=\S)([^'\n]{1,200})(?<=\S)'(?![\p{L}\p{N}])", f"{OPEN}$1{CLOSE}"),
+        (rf"(?<![\p{{L}}\p{{M}}\p{{N}}])'(?=\S){_QUOTED % (chr(39), '')}(?<=\S)'(?![\p{{L}}\p{{N}}])", f"{OPEN}$1{CLOSE}"),
         (rf"„{_QUOTED % ('“', '”„')}[“”]", f"{OPEN}$1{CLOSE}"),
         *[(rf"{a}{_QUOTED % (a, b)}{b}", f"{OPEN}$1{CLOSE}") for a, b in ("“”", "«»", "「」", "『』", "‘’", "‹›")],
-        (rf"[{MARKS}](?![{MARKS}…{MASK}]*\s?{CLOSE})(?=[^{OPEN}{CLOSE}]{{0,{QUOTE_LENGTH}}}+{CLOSE})", m),
+        ((rf"[{MARKS}](?![{MARKS}…{MASK}]*\s?\z)", OPEN, CLOSE), m),
         # brackets inside a sentence
         (
             rf"[(\[（【](?<!^\s{{0,4}}.)(?<![{MARKS}{CLOSE})）]\s{{0,4}}[(\[（【])(?<!\n[ \t\r]{{0,4}}\n\s{{0,4}}[(\[（【])"
-            rf"([^()\[\]（）【】]{{1,{BRACKET_LENGTH}}})[)\]）】]",
+            rf"{_QUOTED % (r'()\[\]', '（）【】')}[)\]）】]",
             f"{IN}$1{OUT}",
         ),
-        (rf"[{MARKS}](?=[^{IN}{OUT}]{{0,{BRACKET_LENGTH}}}+{OUT})", m),
+        ((f"[{MARKS}]", IN, OUT), m),
     ]
 
 
@@ -105,11 +107,13 @@ HARD = [
     (rf"{_LINE}[^\S\n\r]*{_LINE}\s*", f"$0{CUT}"),
     # a line with a list mark: bullets anywhere, numbers where the line before is over or is itself such a line
     (rf"(?m)(?:^|(?<={CUT}))([^\S\n\r]*{_BULLET}[^\n\r]*)$", f"{CUT}{LIST}$1{CUT}"),
+    (r"(?<=\n)[ ]{0,4}\d{1,3}[.)] [^\n]*\n", f"$0{ITEM}"),
     (
-        rf"(?m)(?={_BLANK}{{0,9}}\(?\d{{1,3}}[.)、．]\s)(?:(?<=\A[{CUT}\s]{{0,4}})|(?<=[{MARKS}:{CLOSE}{CUT})][^\S\n\r]{{0,4}}\r?\n)|(?<=\n[ ]{{0,4}}\d{{1,3}}[.)] [^\n]{{0,300}}\n)|(?<={CUT}))"
+        rf"(?m)(?={_BLANK}{{0,9}}\(?\d{{1,3}}[.)、．]\s)(?:(?<=\A[{CUT}\s]{{0,4}})|(?<=[{MARKS}:{CLOSE}{CUT})][^\S\n\r]{{0,4}}\r?\n)|(?<={ITEM})|(?<={CUT}))"
         rf"([^\S\n\r]*{_NUMBER}[^\n\r]*)$",
         f"{CUT}{LIST}$1{CUT}",
     ),
+    (ITEM, ""),
 ]
 
 _QUOTE_ENDS = f"{CLOSE}”»」』’›"
@@ -134,17 +138,31 @@ ENDS = "|".join(
 )
 
 
+def within(text: Column, pattern: str, by: str, opening: str, closing: str) -> Column:
+    """text with pattern replaced wherever closing is the next of the two placeholders, in time linear in the text."""
+    last = F.substring_index(text, closing, -1)
+    closed = F.split(F.substr(text, F.lit(1), F.length(text) - F.length(last) - 1), closing)
+
+    def part(x: Column) -> Column:
+        tail = F.substring_index(x, opening, -1)
+        return F.concat(F.substr(x, F.lit(1), F.length(x) - F.length(tail)), F.regexp_replace(tail, F.lit(pattern), F.lit(by)))
+
+    return F.concat(F.array_join(F.transform(closed, part), closing), F.lit(closing), last)
+
+
 def with_pieces(docs: DataFrame, text: str, name: str) -> DataFrame:
     """docs with an array of pieces that follow each other without gap; each has the length of its part of the text."""
     steps = [*_masks(), *HARD]
     masked = F.col(text)
     for k, (pattern, by) in enumerate(steps):
-        closing = next((c for c in (CLOSE, OUT) if pattern.endswith(f"{c})")), None)
-        if closing:  # a mark can only be enclosed where something is closed; as a column of its own, the text so far is made once
-            docs = docs.withColumn(f"_masked{k}", masked)
-            masked = F.col(f"_masked{k}")
-        there = F.regexp_replace(masked, F.lit(pattern), F.lit(by))
-        masked = F.when(F.contains(masked, F.lit(closing)), there).otherwise(masked) if closing else there
+        if isinstance(pattern, str):
+            masked = F.regexp_replace(masked, F.lit(pattern), F.lit(by))
+            continue
+        # a mark can only be enclosed where something is closed; as a column of its own, the text so far is made once
+        mark, opening, closing = pattern
+        docs = docs.withColumn(f"_masked{k}", masked)
+        masked = F.col(f"_masked{k}")
+        masked = F.when(F.contains(masked, F.lit(closing)), within(masked, mark, by, opening, closing)).otherwise(masked)
 
     def inner(segment: Column) -> Column:
         ends = F.split(F.regexp_replace(segment, F.lit(f"(?U){ENDS}"), F.lit(f"$0{CUT}")), CUT)

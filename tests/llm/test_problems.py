@@ -332,6 +332,21 @@ def test_sentences(spark):
     assert sentences.sentences(df.where("false"), "doc_id", "text").count() == 0
 
 
+def test_long_quotations_brackets_and_items(spark):
+    long = "He left. " * 9000 + "So."
+    texts = [f"{a}{long}{b} we read. Yes." for a, b in ('""', "“”", "„“", "«»", "「」", "''")]
+    texts = [f"The note {x}" for x in texts] + [f"The note ({long}) is here. Yes.", f"The note [{long}] is here. Yes."]
+    listed = f"List:\n\n- x\n1) {'word ' * 100}\n2) B. C"
+    df = spark.createDataFrame([*enumerate([*texts, listed, f"It “{long}\n\nEnd” is."])], "doc_id bigint, text string")
+    got: dict = {}
+    for r in sentences.sentences(df, "doc_id", "text").orderBy("id", "seq").collect():
+        got.setdefault(r["id"], []).append(r["sentence"])
+    for i, t in enumerate(texts):
+        assert got[i] == [t[:-5], "Yes."], i
+    assert got[len(texts)][-1] == "2) B. C"
+    assert len(got[len(texts) + 1]) > 9000  # a blank line ends what isn't closed
+
+
 def test_queries_run_over_the_small_tables(spark):
     from setlens.llm.queries import QUERIES
 
