@@ -69,7 +69,7 @@ def url_paths(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 3, F.concat(F.lit("/images/../"), "path"))
         .otherwise(F.concat(F.lit("//"), "path"))
     )
-    return i.select("image_id", "path", t.safe_path(F.when(k == 4, F.substring(url, 2, 1000)).otherwise(url)).alias("safe"))
+    return i.select("image_id", "path", t.safe_path(F.when(k == 4, F.substr(url, F.lit(2))).otherwise(url)).alias("safe"))
 
 
 def index_images(spark: SparkSession, d: str) -> DataFrame:

@@ -225,6 +225,14 @@ def test_text_functions(spark):
         assert one(texts.safe_path(F.lit(url))) == want, url
 
 
+def test_long_addresses_stay_whole(spark, tmp_path):
+    from setlens.plans.texts import url_paths
+
+    paths = {f"7_{k}": "train/" + "folder/" * 300 + f"7_{k}.jpg" for k in range(10, 15)}
+    spark.createDataFrame(list(paths.items()), "image_id string, path string").write.parquet(f"{tmp_path}/images.parquet")
+    assert {r["image_id"]: r["safe"] for r in url_paths(spark, str(tmp_path)).collect()} == paths | {"7_13": None}  # that one climbs up
+
+
 # ---- sampling
 
 
