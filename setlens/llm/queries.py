@@ -44,9 +44,8 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    got = p1_splits(spark, d).groupBy("split").agg(
-        F.count(F.lit(1)).alias("samples"), F.approx_count_distinct("group_key").alias("groups_about")
-    )
+    sizes = p1_splits(spark, d).groupBy("split", "group_key").count()
+    got = sizes.groupBy("split").agg(F.sum("count").alias("samples"), F.count(F.lit(1)).alias("groups_about"))
     total = F.sum(F.coalesce("samples", F.lit(0))).over(_all())
     wanted = table(spark, d, "split_targets").select("split", "target_share")
     rows = wanted.join(got, "split", "full")

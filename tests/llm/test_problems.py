@@ -109,6 +109,17 @@ def test_top_n_equals_brute_force(spark, shares):
     assert rows(topn.top_n(df.where("false"), "g", "i", "s", 10, shares)) == []
 
 
+def test_the_report_counts_groups_exactly(spark):
+    from setlens.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.1"
+    want: dict = {}
+    for r in QUERIES["p1_splits"](spark, d).collect():
+        want.setdefault(r["split"], []).append(r["group_key"])
+    got = {r["split"]: (r["samples"], r["groups_about"]) for r in QUERIES["p1_report"](spark, d).collect() if r["samples"]}
+    assert got == {s: (len(keys), len(set(keys))) for s, keys in want.items()}
+
+
 def test_top_n_drops_rows_of_filled_hot_groups(spark):
     data = [("hot", i, float(i % 997)) for i in range(25_000)] + [("small", i, float(-i)) for i in range(5)]
     df = spark.createDataFrame(data, "g string, i bigint, s double")
