@@ -250,12 +250,50 @@ def test_encoding_equals_the_tokenizer_for_long_and_odd_texts(spark):
     assert got == want
 
 
-def test_blocks_keep_the_pieces_at_every_border(spark):
+def test_encoding_joins_at_every_border(spark):
     enc = encode.encoding(*encode.default_vocabulary())
     texts = ["x" * k + " a.\n\nFoo\t\tbar  9\r\n\r\n." * 12 for k in range(64)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["id"]: list(r["ids"]) for r in encode.encode_texts(df, "doc_id", "text", limit=64).collect()}
     assert got == {i: enc.encode_ordinary(x) for i, x in enumerate(texts)}
+    counted = encode.count_tokens(df, F.col("text"), limit=64)
+    assert counted.columns == ["doc_id", "text", "tokens"]
+    assert {r["doc_id"]: r["tokens"] for r in counted.collect()} == {i: len(x) for i, x in got.items()}
+
+
+def joined(text, limit):
+    e = encode.Encoder.of(*encode.default_vocabulary(), limit=limit)
+    parts = [e.part(x) for x in encode.halves(text, 1 << (-(-len(text) // limit) - 1).bit_length())]
+    while len(parts) > 1:
+        parts = [e.join(parts[k], parts[k + 1]) for k in range(0, len(parts), 2)]
+    return parts[0]
+
+
+@pytest.mark.parametrize("limit", [16, 100])
+def test_joins_of_odd_texts_are_exact(limit):
+    enc = encode.encoding(*encode.default_vocabulary())
+    rng = random.Random(limit)
+    bits = ["a", "  ", "'ll", "'", "re", "!!", " ", "\n\n", "é", "戴", "9"]
+    texts = ["!'" * 900, "'s" * 900, "\n \n" * 500, " " * 1500 + "x", "\t" * 900 + "  x" * 10, "!" * 700 + "'ll " + "9" * 700]
+    texts += ["".join(rng.choice(bits) * rng.choice([1, 1, 1, 2, 30, 200]) for _ in range(60)) for _ in range(60)]
+    for text in texts:
+        part = joined(text, limit)
+        assert part.text == text and part.ids.tolist() == enc.encode_ordinary(text)
+        assert part.chars.sum() == len(text) and part.counts.sum() == len(part.ids)
+
+
+def test_a_long_text_without_breaks_goes_through_the_tree(spark):
+    enc = encode.encoding(*encode.default_vocabulary())
+    rng = random.Random(19)
+    text = "".join(rng.choices("abcdefghijklmnop", k=400_000))
+    long = text * 26  # more than 10 MB without any break
+    df = spark.createDataFrame([(1, text), (2, long)], "doc_id bigint, text string")
+    got = {r["id"]: r["ids"] for r in encode.encode_texts(df, "doc_id", "text").collect()}
+    assert got[1] == enc.encode_ordinary(text)
+    assert enc.decode_bytes(got[2]) == long.encode()
+    # a sequence is the encoding of its bytes if every two neighbours are the encoding of theirs
+    pairs = {x for x in zip(got[2], got[2][1:])}
+    assert all(enc._encode_single_piece(enc.decode_bytes(list(p))) == list(p) for p in pairs)
 
 
 # ---- 8
