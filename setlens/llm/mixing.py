@@ -2,15 +2,19 @@
 
 Sizes are tokens of a public tokenizer. Each source of a mix gets its share of the wanted total; a source that would need
 more than max_repeats copies is held there, and what it leaves goes to the others by their weights. Every document of a
-source first gets the certain whole copies. The fractional copy goes to a Pareto order sample: documents are ranked by
-random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken in that order up to the number of tokens still
-wanted (the document on the border only if that comes closer). Ranks are cut into buckets whose token sums find the
-border; only the bucket on the border is sorted, so a source of any size is never sorted in one task.
+source first gets the certain whole copies. The fractional copy goes to a Pareto order sample with unequal probabilities:
+a document's inclusion is proportional to its weight, by default its own size. Where that would exceed one the copy is
+certain, and the others share what is left; this repeats until no further one is certain. The others are ranked by
+random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken in that order up to the fixed number of tokens
+still wanted (the document on the border only if that comes closer). Ranks are cut into buckets whose token sums find the
+border; only the bucket on the border is sorted, and there are more buckets the more documents there are, so a source of
+any size is never sorted in one task.
 
 Defined cases: sources compare without letter case and outer white space; a null source belongs to no mix; documents
-without tokens are never listed; a mix's source written several times adds its weights and takes the largest limit; null
-or negative weights count as zero; sources without documents get nothing and are reported with share zero; empty tables
-give empty results.
+without tokens are never listed; a null, negative or infinite weight of a document counts as zero, and such a document
+comes in last; a mix's source written several times adds its weights and takes the largest limit; null or negative
+weights of targets count as zero; sources without documents get nothing and are reported with share zero; repeated rows
+are documents of their own; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,11 +25,12 @@ from pyspark.sql.window import Window
 
 from setlens.shared import cut, unit_hash
 
-BUCKETS = 1024
+BUCKETS = 1024  # at least
+IN_BUCKET = 65_536  # documents of a source aimed at per bucket at most
 
 
 def shares(targets: list[dict], available: dict[str, int]) -> list[dict]:
-    """For each (mix, source): wanted and reachable tokens, whole copies, and inclusion of the fractional copy.
+    """For each (mix, source): wanted and reachable tokens, whole copies, and the tokens of the fractional copy.
 
     targets: mix_id, source, weight, max_repeats, fraction.
     """
@@ -58,15 +63,13 @@ def shares(targets: list[dict], available: dict[str, int]) -> list[dict]:
                 {
                     "mix_id": mix, "source": s, "target_share": t["weight"] / weights if weights else 0.0,
                     "wanted": total * t["weight"] / weights if weights else 0.0, "available": there,
-                    "whole": whole, "rest": want - whole * there, "p": (want - whole * there) / there if there else 0.0,
+                    "whole": whole, "rest": want - whole * there,
                 }
             )
     return out
 
 
-SHARE_SCHEMA = (
-    "mix_id int, source string, target_share double, wanted double, available bigint, whole int, rest double, p double"
-)
+SHARE_SCHEMA = "mix_id int, source string, target_share double, wanted double, available bigint, whole int, rest double"
 
 
 def pareto_rank(u: Column, p: Column) -> Column:
@@ -75,39 +78,77 @@ def pareto_rank(u: Column, p: Column) -> Column:
     return a / (a + b)
 
 
-def mix_sources(docs: DataFrame, plan: list[dict], seed: str = "mix") -> DataFrame:
-    """(mix_id, source, doc_id, tokens, copies). docs: doc_id, source, tokens and, if wanted, a positive weight.
+def inclusion(per_weight: DataFrame, plan: list[dict]) -> list[dict]:
+    """For each target with a fractional copy: factor, so that a document's inclusion is min(1, factor * weight), and the
+    tokens still wanted once the certain documents (inclusion 1) are taken.
 
-    With weights, inclusion is proportional to the document's weight within its source; the sample's size in tokens
-    stays as planned.
+    per_weight: source, weight, t (tokens), wt (weight times tokens). The sums of tokens of all included documents meet
+    the wanted rest in expectation. Each round is one aggregate; a round only ever adds certain documents.
     """
+    state = [{"mix_id": p["mix_id"], "source": p["source"], "rest": p["rest"], "factor": 0.0, "open": -1.0} for p in plan if p["rest"] > 0]
+    while state:
+        known = F.broadcast(per_weight.sparkSession.createDataFrame(state, ODDS_SCHEMA))  # as many rows as the targets
+        certain = F.col("factor") * F.col("weight") >= 1
+        sums = per_weight.join(known, "source").groupBy("mix_id", "source").agg(
+            F.coalesce(F.sum(F.when(certain, F.col("t"))), F.lit(0)).alias("taken"), F.coalesce(F.sum(F.when(~certain, F.col("wt"))), F.lit(0.0)).alias("wt")
+        )
+        found = {(r["mix_id"], r["source"]): r for r in sums.collect()}  # one row a target
+        new = []
+        for x in state:
+            r = found.get((x["mix_id"], x["source"]))
+            taken, wt = (r["taken"], r["wt"]) if r else (0, 0.0)
+            open_ = max(0.0, x["rest"] - taken)
+            new.append(dict(x, open=open_, factor=max(x["factor"], open_ / wt) if wt > 0 else x["factor"]))
+        if [x["open"] for x in new] == [x["open"] for x in state]:
+            break
+        state = new
+    return state
+
+
+ODDS_SCHEMA = "mix_id int, source string, rest double, factor double, open double"
+
+
+def mix_sources(docs: DataFrame, plan: list[dict], seed: str = "mix") -> DataFrame:
+    """(mix_id, source, doc_id, tokens, copies). docs: doc_id, source, tokens and, if wanted, a weight instead of the size."""
     spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(plan, SHARE_SCHEMA))  # as many rows as the targets
-    live = docs.where((F.col("tokens") > 0) & F.col("source").isNotNull())
-    if "weight" in docs.columns:
-        means = live.groupBy("source").agg((F.sum(F.col("weight") * F.col("tokens")) / F.sum("tokens")).alias("mean"))
-        live = live.join(F.broadcast(means), "source").withColumn("tilt", F.col("weight") / F.col("mean"))
-    else:
-        live = live.withColumn("tilt", F.lit(1.0))
-    m = live.join(table.where("whole > 0 OR rest > 0").select("mix_id", "source", "whole", "rest", "p"), "source")
+    weight = F.col("weight").cast("double") if "weight" in docs.columns else F.col("tokens").cast("double")
+    weight = F.when((weight > 0) & (weight < float("inf")), weight).otherwise(F.lit(0.0))
+    live = docs.where((F.col("tokens") > 0) & F.col("source").isNotNull()).select("doc_id", "source", "tokens", weight.alias("weight"))
+    per_weight = live.groupBy("source", "weight").agg(
+        F.sum("tokens").alias("t"), F.sum(F.col("weight") * F.col("tokens")).alias("wt"), F.count(F.lit(1)).alias("n")
+    )
+    per_weight = cut(per_weight)
+    most = per_weight.groupBy("source").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = max(BUCKETS, -(-most // IN_BUCKET))
+
+    odds = {(x["mix_id"], x["source"]): x for x in inclusion(per_weight, plan)}
+    targets = [
+        (p["mix_id"], p["source"], p["whole"], odds.get(k, {}).get("factor", 0.0), odds.get(k, {}).get("open", 0.0), k in odds)
+        for p in plan
+        if (k := (p["mix_id"], p["source"])) in odds or p["whole"] > 0
+    ]
+    schema = "mix_id int, source string, whole int, factor double, open double, has_rest boolean"
+    m = live.join(F.broadcast(spark.createDataFrame(targets, schema)), "source")  # as many rows as the targets
+    odds_of = F.col("factor") * F.col("weight")
+    certain = F.col("has_rest") & (odds_of >= 1)
     u = (unit_hash(seed, F.col("mix_id"), F.col("doc_id")) + 0.5) / float(1 << 60)
-    p = F.least(F.greatest(F.col("p") * F.col("tilt"), F.lit(1e-12)), F.lit(1 - 1e-12))
-    m = m.withColumn("q", pareto_rank(u, p))
-    m = m.withColumn("bucket", F.least(F.floor(F.col("q") * BUCKETS), F.lit(BUCKETS - 1)))
-    sums = m.where("rest > 0").groupBy("mix_id", "source", "rest", "bucket").agg(F.sum("tokens").alias("t"))
+    m = m.withColumn("q", F.when(certain, F.lit(-1.0)).otherwise(pareto_rank(u, F.greatest(odds_of, F.lit(1e-12)))))
+    m = m.withColumn("bucket", F.when(certain, F.lit(-1)).otherwise(F.least(F.floor(F.col("q") * buckets), F.lit(buckets - 1))))
+    sums = m.where("has_rest AND bucket >= 0").groupBy("mix_id", "source", "open", "bucket").agg(F.sum("tokens").alias("t"))
     upto = Window.partitionBy("mix_id", "source").orderBy("bucket")
     ends = (
         sums.withColumn("before", F.sum("t").over(upto) - F.col("t"))
-        .where("before < rest AND before + t >= rest")
+        .where("before < open AND before + t >= open")
         .select("mix_id", "source", F.col("bucket").alias("end"), "before")
     )
     m = m.join(F.broadcast(cut(ends)), ["mix_id", "source"], "left")  # one row a target
     cols = ["mix_id", "source", "doc_id", "tokens", "whole"]
-    below = m.where("bucket < end OR end IS NULL OR bucket > end").select(*cols, F.coalesce(F.expr("bucket < end"), F.lit(False)).cast("int").alias("extra"))
+    extra = F.col("has_rest") & (F.coalesce(F.expr("bucket < end"), F.lit(False)) | (F.col("bucket") < 0))
+    below = m.where("end IS NULL OR bucket <> end").select(*cols, extra.cast("int").alias("extra"))
     order = Window.partitionBy("mix_id", "source").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     border = m.where("bucket = end").withColumn("sum", F.col("before") + F.sum("tokens").over(order))
     # taken if at least half of the document lies within the wanted size
-    border = border.select(*cols, (F.col("sum") - F.col("tokens") / 2 <= F.col("rest")).cast("int").alias("extra"))
+    border = border.select(*cols, (F.col("sum") - F.col("tokens") / 2 <= F.col("open")).cast("int").alias("extra"))
     both = below.unionByName(border).withColumn("copies", F.col("whole") + F.col("extra"))
     return both.where("copies > 0").select("mix_id", "source", "doc_id", "tokens", "copies")
 

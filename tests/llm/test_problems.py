@@ -336,6 +336,59 @@ def test_weights_tilt_the_sample(spark):
     assert 2.4 < heavy / (len(got) - heavy) < 3.8
 
 
+def brute_inclusion(docs, rest):
+    """Factor and certain documents by taking one certain document at a time."""
+    certain: set = set()
+    while True:
+        open_ = [x for x in docs if x[0] not in certain]
+        wt = sum(w * t for _, t, w in open_)
+        left = rest - sum(t for i, t, _ in docs if i in certain)
+        factor = left / wt if wt else 0.0
+        best = max(open_, key=lambda x: x[2], default=None)
+        if best is None or factor * best[2] < 1:
+            return factor, certain
+        certain.add(best[0])
+
+
+def test_large_documents_become_certain_until_none_is_left(spark):
+    rng = random.Random(23)
+    docs = [(i, rng.randrange(1, 50), 0.0) for i in range(600)] + [(1000 + i, 2_000 * 2**i, 0.0) for i in range(5)]
+    docs = [(i, t, float(t)) for i, t, _ in docs]
+    there = sum(t for _, t, _ in docs)
+    df = spark.createDataFrame([(i, "a", t, 7) for i, t, _ in docs], "doc_id bigint, source string, tokens bigint, factor int")
+    for fraction in (0.05, 0.5, 0.9, 0.97, 1.0):
+        plan = mixing.shares([{"mix_id": 1, "source": "a", "weight": 1.0, "max_repeats": 1, "fraction": fraction}], {"a": there})
+        got = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(df, plan).collect()}
+        assert set(got.values()) <= {1}
+        size = sum(t for i, t, _ in docs if i in got)
+        if fraction == 1.0:
+            assert size == there
+            continue
+        _, certain = brute_inclusion(docs, plan[0]["rest"])
+        assert certain <= set(got)
+        rest = [t for i, t, _ in docs if i not in certain]
+        assert abs(size - plan[0]["rest"]) <= max(rest)
+    odd = spark.createDataFrame([(1, "a", 5, None), (2, "a", 5, -1.0), (3, "a", 5, float("inf")), (4, "a", 5, 2.0)], "doc_id bigint, source string, tokens bigint, weight double")
+    plan = mixing.shares([{"mix_id": 1, "source": "a", "weight": 1.0, "max_repeats": 1, "fraction": 0.25}], {"a": 20})
+    assert [r["doc_id"] for r in mixing.mix_sources(odd, plan).collect()] == [4]
+
+
+def test_inclusion_follows_the_size(spark):
+    """Over many seeds, each document is drawn as often as its size says."""
+    docs = [(i, 1 + i % 8) for i in range(80)]
+    df = spark.createDataFrame([(1000 * s + i, f"s{s}", t) for s in range(150) for i, t in docs], "doc_id bigint, source string, tokens bigint")
+    there = sum(t for _, t in docs)
+    targets = [{"mix_id": 1, "source": f"s{s}", "weight": 1.0, "max_repeats": 1, "fraction": 0.25} for s in range(150)]
+    plan = mixing.shares(targets, {f"s{s}": there for s in range(150)})
+    hits = [0] * 9
+    for r in mixing.mix_sources(df, plan).collect():
+        hits[r["tokens"]] += 1
+    factor = 0.25 * there / sum(t * t for _, t in docs)
+    for t in range(1, 9):
+        want = 150 * 10 * factor * t
+        assert abs(hits[t] - want) < 5 * want**0.5 + 0.05 * want, (t, hits[t], want)
+
+
 # ---- 9
 
 CASES = [
