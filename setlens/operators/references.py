@@ -1,9 +1,12 @@
 """References to records that do not exist.
 
-Keys of both sides become integers (a dictionary of dense positions inside hash chunks of at most 32,768 codes).
-Per chunk and month there is one compressed bitmap of referenced keys and one of keys valid through the whole
-month; referenced AND-NOT valid leaves the few (key, month) bits that need a look at exact times. Surviving bits are
-decoded through the dictionary and joined back to the references, and an anti join on the validity intervals decides.
+Keys of both sides become integers (a dictionary of dense positions inside ranges of at most 32,768 codes).
+Per range of codes and month there is one compressed bitmap of referenced keys, one of the keys whose validity through
+whole months begins and one of those for which it is over. One pass over the months of a range carries the bitmap of
+valid keys on (OR the beginning ones, AND-NOT the ended ones), so a key costs two bits however long it is valid and
+however far apart the months lie. Referenced AND-NOT valid leaves the few (key, month) bits that need a look at exact
+times. Surviving bits are decoded through the dictionary and joined back to the references, and an anti join on the
+validity intervals decides.
 
 Defined cases: a null key refers to nothing; a parent row without ``valid_from`` is never valid; a reference without a
 time has no valid target and comes out with a null month; repeated references come out once; empty tables give no
@@ -26,6 +29,7 @@ from setlens.shared import cut
 BITS = 32_768  # bits of one bitmap, as bitmap_construct_agg makes them
 KEYS_PER_CHUNK = 16_384  # keys aimed at per chunk; a fuller one goes on in a second bitmap
 SPARSE = 1_024  # up to so many set bits are kept as a list of positions
+BEGIN, END = "<", ">"  # of validity, beside the names of referring tables
 
 
 def _pack(raw: bytes) -> bytes:
@@ -49,9 +53,26 @@ def pack_bitmap(raw: pd.Series) -> pd.Series:
     return raw.map(_pack)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def and_not(ref: pd.Series, parent: pd.Series) -> pd.Series:
-    return pd.Series([np.flatnonzero(_unpack(a) & ~_unpack(b)).astype("int32") for a, b in zip(ref, parent)])
+def surviving(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(chunk, src_table, m, pos) of the referenced keys of one range that are not valid through the whole month.
+
+    pdf: chunk, m, what ("begin", "end" or the referring table), bits; a month's own begins and ends come first.
+    """
+    valid, out = np.zeros(BITS, bool), []
+    for _, month in pdf.groupby("m", sort=True):
+        for what, bits in zip(month["what"], month["bits"]):
+            if what == END:
+                valid &= ~_unpack(bits)
+        for what, bits in zip(month["what"], month["bits"]):
+            if what == BEGIN:
+                valid |= _unpack(bits)
+        for what, bits in zip(month["what"], month["bits"]):
+            if what not in (BEGIN, END):
+                pos = np.flatnonzero(_unpack(bits) & ~valid)
+                out.append(pd.DataFrame({"src_table": what, "m": month["m"].iloc[0], "pos": pos}))
+    if not out:
+        return pd.DataFrame({"chunk": [], "src_table": [], "m": [], "pos": []})
+    return pd.concat(out, ignore_index=True).assign(chunk=pdf["chunk"].iloc[0])[["chunk", "src_table", "m", "pos"]]
 
 
 def month_index(t: Column) -> Column:
@@ -91,31 +112,28 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     low, high = present.agg(F.min("m"), F.max("m")).first()
     codes = _dictionary(present.select("kind", "key").union(parents.select("kind", "key")).distinct())
 
-    ref_bits = (
-        present.join(codes, ["kind", "key"])
-        .groupBy("chunk", "src_table", "m")
-        .agg(F.bitmap_construct_agg(F.col("pos").cast("bigint")).alias("bits"))
-        .select("chunk", "src_table", "m", pack_bitmap("bits").alias("ref_bits"))
-    )
     begin = month_index(F.col("valid_from"))
     whole = F.date_trunc("month", F.col("valid_from")).cast("timestamp_ntz") == F.col("valid_from")
     first = F.greatest(F.when(whole, begin).otherwise(begin + 1), F.lit(low or 0))
     last = F.least(F.coalesce(month_index(F.col("valid_to")) - 1, F.lit(high or 0)), F.lit(high or 0))
-    parent_bits = (
-        parents.select("kind", "key", first.alias("first"), last.alias("last"))
-        .where("first <= last")
-        .join(codes, ["kind", "key"])
-        .select("chunk", "pos", F.explode(F.sequence("first", "last")).alias("m"))
-        .groupBy("chunk", "m")
-        .agg(F.bitmap_construct_agg(F.col("pos").cast("bigint")).alias("bits"))
-        .select("chunk", "m", pack_bitmap("bits").alias("parent_bits"))
+    spans = parents.select("kind", "key", first.alias("first"), last.alias("last")).where("first <= last").distinct()
+    # spans of a key that touch become one, so that each bit begins and ends once in between
+    earlier = Window.partitionBy("kind", "key").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spans.withColumn("new", F.coalesce((F.col("first") > F.max("last").over(earlier) + 1).cast("int"), F.lit(1)))
+    upto = Window.partitionBy("kind", "key").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
+    merged = starts.withColumn("island", F.sum("new").over(upto)).groupBy("kind", "key", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    events = merged.select("kind", "key", F.lit(BEGIN).alias("what"), F.col("first").alias("m")).unionByName(
+        merged.where(F.col("last") < F.lit(high or 0)).select("kind", "key", F.lit(END).alias("what"), (F.col("last") + 1).alias("m"))
     )
+    bits = (
+        present.withColumnRenamed("src_table", "what").unionByName(events).join(codes, ["kind", "key"])
+        .groupBy("chunk", "what", "m").agg(F.bitmap_construct_agg(F.col("pos").cast("bigint")).alias("bits"))
+        .select("chunk", "m", "what", pack_bitmap("bits").alias("bits"))
+    )
     open_keys = (
-        ref_bits.join(parent_bits, ["chunk", "m"], "left")
-        .select("chunk", "src_table", "m", F.explode(and_not("ref_bits", "parent_bits")).alias("pos"))
-        .join(codes, ["chunk", "pos"])
-        .select("src_table", "kind", "key", "m")
-    )
+        bits.groupBy("chunk").applyInPandas(surviving, "chunk bigint, src_table string, m int, pos bigint")
+        .join(codes, ["chunk", "pos"]).select("src_table", "kind", "key", "m")
+    )
     p = parents.select(F.col("kind").alias("p_kind"), F.col("key").alias("p_key"), "valid_from", "valid_to")
     valid_then = (
         (F.col("p_kind") == F.col("kind"))
