@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """Write df once as a table in the shared checkpoint folder, one folder for each value of by, which later filters prune."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    kinds = [f for f in df.schema.fields if f.name not in by] + [df.schema[c] for c in by]
+    return spark.read.schema(T.StructType(kinds)).parquet(path)
+
+
 def unit_hash(*parts: Column | str) -> Column:
     """A reproducible number in [0, 2^60) from the SHA-256 of the parts joined by ':'; any engine can repeat it."""
     cols = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
