@@ -1,6 +1,7 @@
 """Top N items of every group by descending score bands.
 
-Score quantiles of all rows split the range into bands. From the top band down, rows of groups that are not yet filled
+One pass over all rows finds score quantiles, which split the range into bands, and the few groups that hold a large
+share of the rows; a second one writes each row into its band. From the top band down, each read once, rows of groups that are not yet filled
 are reduced to one best score per (group, item); items already placed and groups already filled are taken out by anti
 joins; the rest is ranked exactly (score descending, item ascending), which also settles ties on the band's border. A
 band only holds scores below all earlier bands, so its ranks follow those already given. Ranking goes through a limit
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setlens.shared import cut
+from setlens.shared import cut, written
 
 BAND_SHARES = (0.125, 0.5)  # share of rows at or above the border of each band but the last
-HOT_SHARE = 0.001  # a group with more than this share of the rows is hot: there are at most 1,000 of them
+HOT = 1_000  # a group with more than a thousandth of the rows is hot, so there are as many at most
 
 
 def top_n(rows: DataFrame, group: str, item: str, score: str, n: int, band_shares: tuple = BAND_SHARES) -> DataFrame:
@@ -29,18 +30,20 @@ def top_n(rows: DataFrame, group: str, item: str, score: str, n: int, band_share
     base = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull() & s.isNotNull() & ~F.isnan(s) & (s != float("inf")))
     base = base.select(F.col(group).alias("g"), F.col(item).alias("i"), (s + F.lit(0.0)).alias("s"))
 
-    quantiles = [1.0 - x for x in band_shares]
-    borders = base.agg(F.percentile_approx("s", quantiles, 1000)).first()[0] or []
-    borders = sorted({b for b in borders if b > float("-inf")}, reverse=True)
-    sizes = base.groupBy("g").count()
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    hot = {r["g"] for r in sizes.where(F.col("count") > max(10_000, total * HOT_SHARE)).collect()}  # at most 1 / HOT_SHARE
+    borders, total, often = base.agg(
+        F.percentile_approx("s", [1.0 - x for x in band_shares], 1000) if band_shares else F.lit(None),
+        F.count(F.lit(1)), F.call_function("approx_top_k", "g", F.lit(HOT), F.lit(16 * HOT)),
+    ).first()
+    borders = sorted({b for b in borders or [] if b > float("-inf")}, reverse=True)
+    hot = {r["item"] for r in often or [] if r["count"] > max(10_000, total / HOT)}  # HOT at most
+    band_of = F.lit(len(borders))
+    for k, low in reversed(list(enumerate(borders))):
+        band_of = F.when(F.col("s") >= low, F.lit(k)).otherwise(band_of)
+    bands = written(base.withColumn("band", band_of), "band")
 
     placed: DataFrame | None = None
-    for k, low in enumerate([*borders, None]):
-        band = base if low is None else base.where(F.col("s") >= low)
-        if k:
-            band = band.where(F.col("s") < borders[k - 1])
+    for k in range(len(borders) + 1):
+        band = bands.where(F.col("band") == k).drop("band")
         if placed is not None:
             count = placed.groupBy("g").agg(F.count(F.lit(1)).alias("placed"))
             filled = count.where(F.col("placed") >= n).select("g")
@@ -61,5 +64,5 @@ def top_n(rows: DataFrame, group: str, item: str, score: str, n: int, band_share
                 .drop("placed")
                 .unionByName(placed)
             )
-        placed = ranked if low is None else cut(ranked)
+        placed = ranked if k == len(borders) else cut(ranked)
     return placed.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "rank_no")
