@@ -45,12 +45,12 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     sizes = p1_splits(spark, d).groupBy("split", "group_key").count()
-    got = sizes.groupBy("split").agg(F.sum("count").alias("samples"), F.count(F.lit(1)).alias("groups_about"))
+    got = sizes.groupBy("split").agg(F.sum("count").alias("samples"), F.count(F.lit(1)).alias("groups"))
     total = F.sum(F.coalesce("samples", F.lit(0))).over(_all())
     wanted = table(spark, d, "split_targets").select("split", "target_share")
     rows = wanted.join(got, "split", "full")
     return rows.select(
-        "split", "target_share", F.coalesce("samples", F.lit(0)).alias("samples"), "groups_about",
+        "split", "target_share", F.coalesce("samples", F.lit(0)).alias("samples"), "groups",
         F.try_divide(F.coalesce("samples", F.lit(0)), total).alias("actual_share"),
     )
 

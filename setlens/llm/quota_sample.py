@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 
 from setlens.shared import cut, unit_hash
 
-BUCKETS = 1024
-BUCKET_WIDTH = 1 << 50  # unit_hash has 60 bits
+BUCKETS = 1024  # at least
+IN_BUCKET = 65_536  # rows of a category aimed at per bucket at most
 
 
 def quotas(n: int, targets: list[tuple[str, float, int]], available: dict[str, int]) -> dict[str, int]:
@@ -81,8 +81,10 @@ def draw_samples(rows: DataFrame, plan: list[dict], seed: str = "draw") -> DataF
     spark = rows.sparkSession
     wanted = F.broadcast(spark.createDataFrame([p for p in plan if p["quota"] > 0], PLAN_SCHEMA).select("draw_id", "category", "quota"))
     keyed = rows.join(wanted, "category").withColumn("k", unit_hash(seed, F.col("draw_id"), F.col("id")))
-    keyed = keyed.withColumn("bucket", F.floor(F.col("k") / BUCKET_WIDTH))
-    per_bucket = keyed.groupBy("draw_id", "category", "quota", "bucket").count()  # BUCKETS rows a target at most
+    most = max((p["available"] for p in plan), default=0)
+    buckets = 1 << max(BUCKETS.bit_length() - 1, (most // IN_BUCKET).bit_length())  # unit_hash has 60 bits
+    keyed = keyed.withColumn("bucket", F.floor(F.col("k") / ((1 << 60) // buckets)))
+    per_bucket = keyed.groupBy("draw_id", "category", "quota", "bucket").count()  # buckets many rows a target at most
     upto = Window.partitionBy("draw_id", "category").orderBy("bucket")
     ends = (
         per_bucket.withColumn("before", F.sum("count").over(upto) - F.col("count"))

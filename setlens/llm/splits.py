@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from setlens.llm.components import components
 from setlens.shared import cut
 
-BINS, SLICES = 256, 32
+BINS, SLICES = 256, 32  # slices at least
+IN_SLICE = 1_000_000  # components aimed at per slice
+MOST_SLICES = 4_096  # slices at most, whose loads the driver combines
 
 
 def key_components(records: DataFrame, id_col: str, keys: Column) -> DataFrame:
@@ -75,24 +77,32 @@ def differencing(items: list[tuple[float, object]], bins: int, start: list[tuple
 
 def _slice_bins(bins: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by weight and component: a full set of equal weights is laid over all bins at once."""
+        """Rows come sorted by slice, weight and component: a full set of equal weights is laid over all bins at once."""
         waiting: dict[int, list] = {}
-        number = None
+        number, names = None, ["slice", "root", "weight", "bin"]
+
+        def rest() -> pd.DataFrame:
+            # equal bins change no spread, so only the rest of each weight has to be combined
+            left = [(w, (w, r)) for w, held in sorted(waiting.items(), reverse=True) for r in held]
+            _, members = differencing(left, bins)
+            return pd.DataFrame([(number, r, w, b) for b, ms in enumerate(members) for w, r in ms], columns=names)
+
         for pdf in batches:
             out = []
             for slice_, root, weight in zip(pdf["slice"], pdf["root"], pdf["weight"]):
-                number = slice_
+                if slice_ != number:
+                    if waiting:
+                        yield rest()
+                        waiting.clear()
+                    number = slice_
                 held = waiting.setdefault(int(weight), [])
                 held.append(root)
                 if len(held) == bins:
                     out += [(slice_, r, weight, b) for b, r in enumerate(held)]
                     held.clear()
-            yield pd.DataFrame(out, columns=["slice", "root", "weight", "bin"])
-        # equal bins change no spread, so only the rest of each weight has to be combined
-        rest = [(w, (w, r)) for w, held in sorted(waiting.items(), reverse=True) for r in held]
-        _, members = differencing(rest, bins)
-        out = [(number, r, w, b) for b, ms in enumerate(members) for w, r in ms]
-        yield pd.DataFrame(out, columns=["slice", "root", "weight", "bin"])
+            yield pd.DataFrame(out, columns=names)
+        if waiting:
+            yield rest()
 
     return run
 
@@ -100,9 +110,8 @@ def _slice_bins(bins: int):
 def balanced_bins(weights: DataFrame, bins: int = BINS, slices: int = SLICES) -> DataFrame:
     """(root, weight, slice, bin) for weights (root, weight): slices many independent balances of bins bins."""
     sliced = weights.withColumn("slice", F.pmod(F.xxhash64("root"), F.lit(slices)).cast("int"))
-    # one task per slice number would need grouping; each partition holds whole slices, and is worked off in a fixed order
-    parts = sliced.repartition(slices, "slice").withColumn("slice", F.spark_partition_id())
-    fixed = parts.sortWithinPartitions("weight", "root")
+    # a partition holds whole slices, and works them off one after the other in a fixed order
+    fixed = sliced.repartition("slice").sortWithinPartitions("slice", "weight", "root")
     return fixed.select("slice", "root", "weight").mapInPandas(_slice_bins(bins), "slice int, root string, weight bigint, bin int")
 
 
@@ -124,7 +133,8 @@ def assign_splits(members: DataFrame, targets: list[tuple[str, float]], bins: in
     """(id, root, split) for members (id, root); members without root are components of their own."""
     own = members.select("id", F.coalesce(F.concat(F.lit("k"), "root"), F.concat(F.lit("i"), "id")).alias("root"))
     own = cut(own)
-    weights = own.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
+    weights = cut(own.groupBy("root").agg(F.count(F.lit(1)).alias("weight")))
+    slices = min(MOST_SLICES, max(slices, -(-weights.count() // IN_SLICE)))
     binned = cut(balanced_bins(weights, bins, slices))
     loads = binned.groupBy("slice", "bin").agg(F.sum("weight").alias("load")).collect()  # slices x bins rows at most
     states: dict[int, np.ndarray] = {}

@@ -116,7 +116,7 @@ def test_the_report_counts_groups_exactly(spark):
     want: dict = {}
     for r in QUERIES["p1_splits"](spark, d).collect():
         want.setdefault(r["split"], []).append(r["group_key"])
-    got = {r["split"]: (r["samples"], r["groups_about"]) for r in QUERIES["p1_report"](spark, d).collect() if r["samples"]}
+    got = {r["split"]: (r["samples"], r["groups"]) for r in QUERIES["p1_report"](spark, d).collect() if r["samples"]}
     assert got == {s: (len(keys), len(set(keys))) for s, keys in want.items()}
 
 
