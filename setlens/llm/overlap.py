@@ -5,8 +5,9 @@ are banded into buckets, and only representatives of the evaluation side meet th
 anything is shuffled further, a pair must pass an exact bound: each bit set in one 128-bit word signature and not in the
 other is a word the sets do not share. What is left is verified by exact Jaccard similarity on the words.
 
-With 80 bands of 10 rows, a pair of similarity 0.8 misses all bands with a probability of 0.01 %, one of 0.85 with
-0.000001 %.
+With 40 bands of 6 rows, a pair of similarity 0.8 misses all bands with a probability of 0.0005 %, one of 0.85 with
+0.000001 %. A bucket that holds a large share of all classes is divided over several tasks. Where no pair of a bucket
+can be told apart by the bound, its classes are similar to each other and all these pairs belong to the result.
 
 Defined cases: a record whose text is null or has no words has no word set and is in no pair; names of splits compare
 without letter case and outer white space, unknown and null splits list nothing; an id listed on both sides is paired
@@ -23,8 +24,12 @@ from pyspark.sql import types as T
 
 from setlens.shared import cut
 
-BANDS, ROWS = 80, 10
+BANDS, ROWS = 40, 6
 SEED = 20_240_501
+SEEN = 64  # one class of so many is looked at for full buckets
+FULL = 1 / 256  # of the classes in one bucket make it full
+LEAST = 64  # classes seen in it at least
+SALTS = 32  # tasks over which a full bucket is divided
 
 
 @F.pandas_udf(T.StringType())
@@ -71,6 +76,23 @@ def _signature(hashed: Column, half: int) -> Column:
     return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
 
+def _full_buckets(classes: DataFrame) -> list[int]:
+    """Buckets that hold more than a share of FULL of all classes, seen in one class of SEEN; FULL bounds their number."""
+    seen = classes.where(F.pmod(F.xxhash64("c"), F.lit(SEEN)) == 0)
+    n = seen.count()
+    counts = seen.select(F.explode("bands").alias("h")).groupBy("h").count()
+    return [r["h"] for r in counts.where(F.col("count") > max(LEAST, n * FULL)).collect()]
+
+
+def _spread(banded: DataFrame, full: list[int], divide: bool) -> DataFrame:
+    """Rows of full buckets divided over SALTS tasks on one side and repeated in each of them on the other."""
+    if not full:
+        return banded.withColumn("salt", F.lit(0))
+    number = F.pmod(F.xxhash64("left_c"), F.lit(SALTS)).cast("int") if divide else F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    hot = banded.where(F.col("h").isin(full)).withColumn("salt", number)
+    return banded.where(~F.col("h").isin(full)).withColumn("salt", F.lit(0)).unionByName(hot)
+
+
 def similar_across(
     records: DataFrame, left: Column, right: Column, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -86,16 +108,17 @@ def similar_across(
     hashed = classes.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
     classes = cut(
         hashed.select(
-            "rep", "any_left", "any_right", "words",
+            F.monotonically_increasing_id().alias("c"), "rep", "any_left", "any_right", "words",
             F.size("words").alias("n"),
             *[_signature(F.col("hashed"), k).alias(f"sig{k}") for k in (0, 1)],
             band_hashes(bands, rows)("hashed").alias("bands"),
         )
     )
-    banded = classes.select("rep", "any_left", "any_right", "n", "sig0", "sig1", F.posexplode("bands").alias("band", "h"))
+    # the hash of a band holds its number, so a row of a bucket needs no more than the numbers of its class
+    banded = classes.select("any_left", "any_right", "c", "n", "sig0", "sig1", F.explode("bands").alias("h"))
 
     def side(name: str) -> DataFrame:
-        return banded.where(f"any_{name}").select("band", "h", *[F.col(c).alias(f"{name}_{c}") for c in ("rep", "n", "sig0", "sig1")])
+        return banded.where(f"any_{name}").select("h", *[F.col(c).alias(f"{name}_{c}") for c in ("c", "n", "sig0", "sig1")])
 
     def unshared(x: str, y: str) -> Column:
         return sum(F.bit_count(F.col(f"{x}_sig{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}_sig{k}")))) for k in (0, 1))
@@ -103,20 +126,20 @@ def similar_across(
     # |A & B| <= |A| - unshared(A, B), and the same from B; similar means (1 + s) |A & B| >= s (|A| + |B|)
     most = F.least(F.col("left_n") - unshared("left", "right"), F.col("right_n") - unshared("right", "left"))
     possible = (1 + similarity) * most >= similarity * (F.col("left_n") + F.col("right_n")) - 1e-9
+    full = _full_buckets(classes)
     near = (
-        side("left").join(side("right"), ["band", "h"])
-        .where((F.col("left_rep") != F.col("right_rep")) & possible)
-        .select("left_rep", "right_rep").distinct()
+        _spread(side("left"), full, True).join(_spread(side("right"), full, False), ["h", "salt"])
+        .where((F.col("left_c") != F.col("right_c")) & possible)
+        .select("left_c", "right_c").distinct()
     )
-    words = classes.select("rep", "words")
     shared = F.size(F.array_intersect("left_words", "right_words"))
+    of = lambda name: classes.select(*[F.col(c).alias(f"{name}_{c}") for c in ("c", "rep", "words")])
     verified = (
-        near.join(words.select(F.col("rep").alias("left_rep"), F.col("words").alias("left_words")), "left_rep")
-        .join(words.select(F.col("rep").alias("right_rep"), F.col("words").alias("right_words")), "right_rep")
+        near.join(of("left"), "left_c").join(of("right"), "right_c")
         .withColumn("jaccard", shared / (F.size("left_words") + F.size("right_words") - shared))
         .where(F.col("jaccard") >= similarity)
         .select("left_rep", "right_rep", "jaccard")
-    )
+    )
     same = classes.where("any_left AND any_right").select(
         F.col("rep").alias("left_rep"), F.col("rep").alias("right_rep"), F.lit(1.0).alias("jaccard")
     )
