@@ -13,12 +13,16 @@ hidden while it is split); repeated rows give repeated sentences; further column
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK, CUT, OPEN, CLOSE, IN, OUT, LIST, ITEM, FOREIGN = (chr(0xE000 + k) for k in range(9))
 MARKS = ".!?。！？．؟۔।॥｡;"
 ALWAYS = "!?。！？．؟۔।॥｡;"
+# The white space of Unicode.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 STARTS = 256  # pieces whose starts are summed in one go
 
 # Abbreviations that never end a sentence, and those that do not before a number.
@@ -49,52 +53,64 @@ def _alternatives(words: str) -> str:
     return "|".join(sorted(forms, key=lambda w: (-len(w), w)))
 
 
-def _masks() -> list[tuple[str | tuple[str, str, str], str]]:
-    """(pattern, replacement); the pattern of marks that are enclosed comes with the opening and the closing placeholder."""
-    m = MASK
+def _masks() -> list[tuple]:
+    """(text that must be there for the step, pattern, replacement); enclosed marks come with both placeholders as well.
+
+    The first is a list of which one must stand in the text, or none: a look for plain text is much cheaper than a pattern.
+    """
+    m, w = MASK, _WORD
     parts = PARTS.replace("#", f"[.{m}]").replace(" ", r"\s")
-    last_point = [
-        (rf"{_WORD}([pzduioтeaπ])\.(?=\s?(?:ej|ex|[BhadäекgkeχBA])\.)", f"$1{m}"),
-        (rf"\.(?<={_WORD}(?:{parts})\.)", m),
-        (rf"\.(?<={_WORD}(?:{_alternatives(NEVER)})\.)", m),
-        (rf"\.(?=\s*[#№]?\d)(?<={_WORD}(?:{_alternatives(BEFORE_NUMBER)})\.)", m),
-        (r"\.(?=[º°ª])(?<=[nN]\.)", m),
-    ]
+    first_points = "|".join(
+        [
+            # numbers, names of files, addresses, versions: a point or mark between characters of one name
+            r"[.?!](?=[a-z0-9_/%&=~])(?<=[A-Za-z0-9_/%&=~+-].)(?<![a-z]{2}[?!])",
+            r"．(?=\d)(?<=\d．)",
+            # letters of an abbreviation or initials written together
+            rf"\.(?=\p{{L}}[.{m}])(?<={w}\p{{L}}\.)",
+            # ellipses
+            r"\.(?:(?=\.)|(?<=\.\.))",
+        ]
+    )
+    last_points = "|".join(
+        [
+            rf"(?=\s?(?:ej|ex|[BhadäекgkeχBA])\.)(?<={w}[pzduioтeaπ]\.)",
+            rf"(?<={w}(?:{parts})\.)",
+            rf"(?<={w}(?:{_alternatives(NEVER)})\.)",
+            rf"(?=\s*[#№]?\d)(?<={w}(?:{_alternatives(BEFORE_NUMBER)})\.)",
+            r"(?=[º°ª])(?<=[nN]\.)",
+            # both points of a. m. and p. m., т. д., т. п.: the second may end a sentence
+            rf"(?=\s?[mдп]\.)(?<={w}[apт]\.)",
+            # initials, and one letter before a number
+            rf"(?=\s*[\p{{L}}(])(?<={w}\p{{Lu}}\.)",
+            # ordinals
+            rf"(?=\s+(?:{_alternatives(MONTHS)})\b)(?<=\d\.)",
+            r"(?=\s+\p{L})(?<=\b(?:[Aa]m|[Vv]om|[Zz]um|[Dd]er|[Dd]em|[Dd]en|[Dd]ie|[Dd]as|[Ii]m|[Bb]eim|[Ss]eit)\s\d{1,3}\.)",
+        ]
+    )
+    quotations = f"{OPEN}$1{CLOSE}"
     return [
-        (f"[{MASK}-{FOREIGN}]", FOREIGN),
-        # numbers, names of files, addresses, versions: a point or mark between characters of one name
-        (r"[.?!](?=[a-z0-9_/%&=~])(?<=[A-Za-z0-9_/%&=~+-].)(?<![a-z]{2}[?!])", m),
-        (r"．(?=\d)(?<=\d．)", m),
-        # letters of an abbreviation or initials written together
-        (rf"\.(?=\p{{L}}[.{m}])(?<={_WORD}\p{{L}}\.)", m),
-        (rf"\.(?=\p{{L}}(?!\p{{Ll}}))(?<={_WORD}\p{{L}}{m}\p{{L}}\.)", m),
-        # ellipses
-        (r"\.(?=\.)|\.(?<=\.\.)", m),
-        (rf"\.(?=\s+\p{{Ll}})(?<={m}\.)", m),
+        (["\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue006", "\ue007", "\ue008"], f"[{MASK}-{FOREIGN}]", FOREIGN),
+        ([".", "?", "!", "．"], first_points, m),
+        ([m], rf"\.(?=\p{{L}}(?!\p{{Ll}}))(?<={w}\p{{L}}{m}\p{{L}}\.)", m),
+        ([f"{m}."], rf"\.(?=\s+\p{{Ll}})(?<={m}\.)", m),
         # a time that opens a sentence goes on
-        (rf"\.(?<={_WORD}(?:At|By|Around|Before|After|Until|From)\s\d{{1,2}}(?:[:{m}]\d\d)?\s[ap]{m}m\.)", m),
-        (rf"{_WORD}(A\slas?\s\d{{1,2}}(?:[:{m}]\d\d)?\s[ap])\.(\s?)m\.", f"$1{m}$2m{m}"),
-        *last_point,
-        # both points of a. m. and p. m., т. д., т. п.: the second may end a sentence
-        (rf"{_WORD}([apт])\.(?=\s?[mдп]\.)", f"$1{m}"),
-        # initials, and one letter before a number
-        (rf"\.(?=\s*[\p{{L}}({OPEN}])(?<={_WORD}\p{{Lu}}\.)", m),
-        # ordinals
-        (rf"\.(?=\s+(?:{_alternatives(MONTHS)})\b)(?<=\d\.)", m),
-        (r"\.(?=\s+\p{L})(?<=\b(?:[Aa]m|[Vv]om|[Zz]um|[Dd]er|[Dd]em|[Dd]en|[Dd]ie|[Dd]as|[Ii]m|[Bb]eim|[Ss]eit)\s\d{1,3}\.)", m),
+        ([f"{m}m."], rf"\.(?<={w}(?:At|By|Around|Before|After|Until|From)\s\d{{1,2}}(?:[:{m}]\d\d)?\s[ap]{m}m\.)", m),
+        (["m."], rf"(?=A\sla){w}(A\slas?\s\d{{1,2}}(?:[:{m}]\d\d)?\s[ap])\.(\s?)m\.", f"$1{m}$2m{m}"),
+        (["."], rf"\.(?:{last_points})", m),
         # quotations
-        (rf'(?<![\p{{L}}\p{{N}}])"(?=\S){_QUOTED % (chr(34), "")}(?<=\S)"', f"{OPEN}$1{CLOSE}"),
-        (rf"(?<![\p{{L}}\p{{M}}\p{{N}}])'(?=\S){_QUOTED % (chr(39), '')}(?<=\S)'(?![\p{{L}}\p{{N}}])", f"{OPEN}$1{CLOSE}"),
-        (rf"„{_QUOTED % ('“', '”„')}[“”]", f"{OPEN}$1{CLOSE}"),
-        *[(rf"{a}{_QUOTED % (a, b)}{b}", f"{OPEN}$1{CLOSE}") for a, b in ("“”", "«»", "「」", "『』", "‘’", "‹›")],
-        ((rf"[{MARKS}](?![{MARKS}…{MASK}]*\s?\z)", OPEN, CLOSE), m),
+        (['"'], rf'(?<![\p{{L}}\p{{N}}])"(?=\S){_QUOTED % (chr(34), "")}(?<=\S)"', quotations),
+        (["'"], rf"(?<![\p{{L}}\p{{M}}\p{{N}}])'(?=\S){_QUOTED % (chr(39), '')}(?<=\S)'(?![\p{{L}}\p{{N}}])", quotations),
+        (["„"], rf"„{_QUOTED % ('“', '”„')}[“”]", quotations),
+        *[([b], rf"{a}{_QUOTED % (a, b)}{b}", quotations) for a, b in ("“”", "«»", "「」", "『』", "‘’", "‹›")],
+        ([CLOSE], rf"[{MARKS}](?![{MARKS}…{MASK}]*\s?\z)", m, OPEN, CLOSE),
         # brackets inside a sentence
         (
+            list(")]）】"),
             rf"[(\[（【](?<!^\s{{0,4}}.)(?<![{MARKS}{CLOSE})）]\s{{0,4}}[(\[（【])(?<!\n[ \t\r]{{0,4}}\n\s{{0,4}}[(\[（【])"
             rf"{_QUOTED % (r'()\[\]', '（）【】')}[)\]）】]",
             f"{IN}$1{OUT}",
         ),
-        ((f"[{MARKS}]", IN, OUT), m),
+        ([OUT], f"[{MARKS}]", m, IN, OUT),
     ]
 
 
@@ -104,22 +120,23 @@ _BULLET = r"[-–*•·◦‣▪●○][ \t 　]+\S"
 _NUMBER = r"\(?\d{1,3}[.)、．][ \t 　]+\S"
 HARD = [
     # a blank line
-    (rf"{_LINE}[^\S\n\r]*{_LINE}\s*", f"$0{CUT}"),
+    (["\n", "\r", "\x85", "\u2028", "\u2029"], rf"{_LINE}[^\S\n\r]*{_LINE}\s*", f"$0{CUT}"),
     # a line with a list mark: bullets anywhere, numbers where the line before is over or is itself such a line
-    (rf"(?m)(?:^|(?<={CUT}))([^\S\n\r]*{_BULLET}[^\n\r]*)$", f"{CUT}{LIST}$1{CUT}"),
-    (r"(?<=\n)[ ]{0,4}\d{1,3}[.)] [^\n]*\n", f"$0{ITEM}"),
+    (list("-–*•·◦‣▪●○"), rf"(?m)(?:^|(?<={CUT}))([^\S\n\r]*{_BULLET}[^\n\r]*)$", f"{CUT}{LIST}$1{CUT}"),
+    (["\n"], r"(?<=\n)[ ]{0,4}\d{1,3}[.)] [^\n]*\n", f"$0{ITEM}"),
     (
+        list(".)、．"),
         rf"(?m)(?={_BLANK}{{0,9}}\(?\d{{1,3}}[.)、．]\s)(?:(?<=\A[{CUT}\s]{{0,4}})|(?<=[{MARKS}:{CLOSE}{CUT})][^\S\n\r]{{0,4}}\r?\n)|(?<={ITEM})|(?<={CUT}))"
         rf"([^\S\n\r]*{_NUMBER}[^\n\r]*)$",
         f"{CUT}{LIST}$1{CUT}",
     ),
-    (ITEM, ""),
+    ([ITEM], ITEM, ""),
 ]
 
 _QUOTE_ENDS = f"{CLOSE}”»」』’›"
 _BRACKET_ENDS = r")\]）】"
 _NEXT_OPENS = rf"[¿¡{OPEN}{IN}(\[（【«“„「『‘\"'—–-]*\s?"
-ENDS = "|".join(
+ENDS = rf"(?=[{MARKS};])(?:" + "|".join(
     [
         # after a closing quotation mark it goes on unless a capital follows
         rf"[{MARKS}]+\s?[{_QUOTE_ENDS}]+[{_BRACKET_ENDS}]*(?=\s*{_NEXT_OPENS}[\p{{Lu}}\p{{Lt}}]|\s*$)",
@@ -132,10 +149,15 @@ ENDS = "|".join(
         # Greek question mark
         rf";(?!\s?[{_QUOTE_ENDS}])(?<=\p{{IsGreek}}[\p{{M}}\d\s)\]{CLOSE}{OUT}]{{0,6}};)",
         rf";(?<=\p{{IsGreek}}\p{{M}}{{0,2}};)\s?[{_QUOTE_ENDS}]+(?=\s*{_NEXT_OPENS}[\p{{Lu}}\p{{Lt}}]|\s*$)",
-        # Thai
-        r"(?<=\p{IsThai})\s+(?=\p{IsThai})",
     ]
-)
+) + ")"
+THAI = r"(?<=\p{IsThai})\s+(?=\p{IsThai})"
+THAI_BYTES = (b"\xe0\xb8", b"\xe0\xb9")  # with which all letters of the script begin
+
+
+def has_any(text: Column, needles: list) -> Column:
+    found = [F.contains(text, F.lit(x)) for x in needles]
+    return reduce(lambda x, y: x | y, found)
 
 
 def within(text: Column, pattern: str, by: str, opening: str, closing: str) -> Column:
@@ -152,24 +174,23 @@ def within(text: Column, pattern: str, by: str, opening: str, closing: str) -> C
 
 def with_pieces(docs: DataFrame, text: str, name: str) -> DataFrame:
     """docs with an array of pieces that follow each other without gap; each has the length of its part of the text."""
-    steps = [*_masks(), *HARD]
-    masked = F.col(text)
-    for k, (pattern, by) in enumerate(steps):
-        if isinstance(pattern, str):
-            masked = F.regexp_replace(masked, F.lit(pattern), F.lit(by))
-            continue
-        # a mark can only be enclosed where something is closed; as a column of its own, the text so far is made once
-        mark, opening, closing = pattern
-        docs = docs.withColumn(f"_masked{k}", masked)
-        masked = F.col(f"_masked{k}")
-        masked = F.when(F.contains(masked, F.lit(closing)), within(masked, mark, by, opening, closing)).otherwise(masked)
-
-    def inner(segment: Column) -> Column:
-        ends = F.split(F.regexp_replace(segment, F.lit(f"(?U){ENDS}"), F.lit(f"$0{CUT}")), CUT)
-        return F.when(segment.startswith(LIST), F.array(F.substr(segment, F.lit(2)))).otherwise(ends)
-
-    docs = docs.withColumn("_masked", masked)
-    docs = docs.withColumn(name, F.flatten(F.transform(F.split("_masked", CUT), inner)))
+    now = text
+    for k, (needles, pattern, by, *enclosed) in enumerate([*_masks(), *HARD]):
+        # as a column of its own, the text so far is made once
+        before, now = F.col(now), f"_masked{k}"
+        step = within(before, pattern, by, *enclosed) if enclosed else F.regexp_replace(before, F.lit(pattern), F.lit(by))
+        docs = docs.withColumn(now, F.when(has_any(before, needles), step).otherwise(before))
+
+    def ends(segment: Column, pattern: str) -> Column:
+        return F.split(F.regexp_replace(segment, F.lit(f"(?U){pattern}"), F.lit(f"$0{CUT}")), CUT)
+
+    def inner(pattern: str):
+        return lambda s: F.when(s.startswith(LIST), F.array(F.substr(s, F.lit(2)))).otherwise(ends(s, pattern))
+
+    segments = F.split(now, CUT)
+    thai = has_any(F.col(now).cast("binary"), list(THAI_BYTES))
+    pieces = F.when(thai, F.transform(segments, inner(f"{ENDS}|{THAI}"))).otherwise(F.transform(segments, inner(ENDS)))
+    docs = docs.withColumn(name, F.flatten(pieces))
     return docs.drop(*[c for c in docs.columns if c.startswith("_masked")])
 
 
@@ -198,8 +219,8 @@ def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             "pieces",
             lambda p: F.struct(
                 F.length(p).alias("n"),
-                (F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))).alias("lead"),
-                F.length(F.regexp_replace(p, r"(?U)\s+$", "")).alias("end"),
+                (F.length(p) - F.length(F.ltrim(p, F.lit(BLANKS)))).alias("lead"),
+                F.length(F.rtrim(p, F.lit(BLANKS))).alias("end"),
             ),
         ).alias("sizes"),
     )
