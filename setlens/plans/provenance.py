@@ -51,6 +51,6 @@ ORACLE = {
     "benchmark_metadata": with_cte("smp") + """SELECT case_type, count(smp.sample_id) AS samples FROM (VALUES ('INDIVIDUAL'), ('GROUP'), ('DUAL'), ('RELATIONAL')) t(case_type)
         LEFT JOIN smp USING (case_type) GROUP BY case_type""",
     "condition_keys": with_cte("smp", more="one AS (SELECT DISTINCT sample_id, query_image_id, final_change, unnest(subjects).subject_id AS subject_id FROM smp)")
-    + f"SELECT sha256(coalesce(query_image_id, chr(9216)) || chr(31) || {_COND}) AS key, count(*) AS uses FROM one GROUP BY 1",
+    + f", {_COND} SELECT sha256(coalesce(query_image_id, chr(9216)) || chr(31) || coalesce(condition, chr(9216))) AS key, count(*) AS uses FROM cond GROUP BY 1",
     "incremental_store": with_cte("gal", "box") + "SELECT image_id, count(box_id) AS boxes FROM gal LEFT JOIN box USING (image_id) GROUP BY image_id",
 }

@@ -87,7 +87,6 @@ QUERIES = {
 
 _MENTIONS = "regexp_extract_all({}, '\\bSubject\\s+(\\d+)\\b', 1)"
 _WANT = "list_transform(range(1, greatest(len(subjects), 1) + 1), lambda x: x::VARCHAR)"
-_REL = "\\bSubject (\\d+) (?:is (?:now )?(?:(?:standing|sitting|seated|crouching|lying down|walking|leaning down) )?)?(?:(?:directly|immediately|two spots|two positions) )?(?:to|on) the (left|right) of Subject (\\d+)\\b"
 _TXT = """txt AS (SELECT sample_id, subjects,
     CASE k WHEN 1 THEN final_desc || '.' WHEN 2 THEN replace(final_desc, 'Identify ', 'Find ') ELSE final_desc END AS d,
     CASE k WHEN 3 THEN final_change || '!' WHEN 4 THEN replace(final_change, 'Subject 1', 'Subject 3') ELSE final_change END AS ch
@@ -105,11 +104,17 @@ _TEXT_CODES = _CODES.format(
     CASE WHEN regexp_matches(d, '[.;:!?]$') THEN 'desc_closing' END, CASE WHEN {_MENTIONS.format('d')} <> {_WANT} THEN 'desc_subjects' END,
     CASE WHEN regexp_matches(d || ch, '[\\r\\n]') THEN 'several_lines' END"""
 )
-_HEAD = "(?:the\\s+members\\s+of\\s+|members\\s+of\\s+)?\\bSubject\\s+"
-_COND = f"""regexp_replace(regexp_replace(trim(regexp_replace(final_change, '(?i)^then retrieve target images where\\s+', '')),
-    '{_HEAD}0*' || subject_id || '\\b', 'the reference person', 'g'), '{_HEAD}(\\d+)\\b', 'the other referenced person (Subject \\1)', 'g')"""
-for _many, _one in (("are", "is"), ("were", "was"), ("have", "has")):
-    _COND = f"regexp_replace({_COND}, '(the reference person|the other referenced person \\(Subject \\d+\\)) {_many}\\b', '\\1 {_one}', 'g')"
+# the text without its beginning, its mentions' numbers and the words around them; then each mention's name and the words after it
+_MARK = "(?:(?:the\\s+)?members\\s+of\\s+)?\\bSubject\\s+(\\d+)\\b"
+_AUX = "after"
+for _many, _one in t.AUXILIARIES.items():
+    _AUX = f"CASE WHEN regexp_matches(after, '^ {_many}\\b') THEN ' {_one}' || substr(after, {len(_many) + 2}) ELSE {_AUX} END"
+_COND = f"""parts AS (SELECT *, regexp_extract_all(x, '{_MARK}', 1) AS numbers, string_split_regex(x, '{_MARK}') AS words FROM (
+    SELECT *, trim(CASE WHEN regexp_matches(lower(final_change), '^{t.CHANGE_PREFIX.strip()}\\s') THEN substr(final_change, {len(t.CHANGE_PREFIX)}) ELSE final_change END) AS x FROM one)),
+cond AS (SELECT * EXCLUDE (numbers, words, x), words[1] || array_to_string(list_transform(range(1, len(numbers) + 1), lambda i:
+    CASE WHEN numbers[i]::INT = subject_id THEN 'the reference person' ELSE 'the other referenced person (Subject ' || numbers[i] || ')' END
+    || {_AUX.replace('after', 'words[i + 1]')}), '') AS condition FROM parts)"""
+_PHRASES = ", ".join(f"'{x}'" for x in t.SIDE_PHRASES)
 
 ORACLE = {
     "subject_mentions": with_cte("smp") + f"SELECT sample_id, {_join(_MENTIONS.format('final_desc'))} AS in_desc, {_join(_MENTIONS.format('final_change'))} AS in_change FROM smp",
@@ -119,11 +124,12 @@ ORACLE = {
     + "SELECT sample_id, nullif(regexp_extract(p, '^Subject (\\d+) as ', 1), '')::INT AS subject_id, trim(regexp_replace(p, '^Subject \\d+ as ', '')) AS description FROM parts",
     "compose_instruction": with_cte("smp") + "SELECT sample_id, final_desc || '; ' || final_change || '.' AS instruction FROM smp",
     "subject_conditions": with_cte("smp", more="one AS (SELECT DISTINCT sample_id, final_change, unnest(subjects).subject_id AS subject_id FROM smp)")
-    + f"SELECT sample_id, subject_id, {_COND} AS condition FROM one",
+    + f", {_COND} SELECT sample_id, subject_id, condition FROM cond",
     "direction_swap": with_cte("smp", more="ch AS (SELECT sample_id, regexp_replace(final_change, 'stands (left|right) of', 'is standing to the \\1 of', 'g') AS x FROM smp)")
-    + f""", m AS (SELECT sample_id, x, regexp_extract_all(x, '{_REL}', 0) AS a, regexp_extract_all(x, '{_REL}', 1) AS f, regexp_extract_all(x, '{_REL}', 2) AS s, regexp_extract_all(x, '{_REL}', 3) AS g FROM ch)
-        SELECT sample_id, replace(x, a[1], replace(a[1], 'the ' || s[1] || ' of', 'the ' || CASE s[1] WHEN 'left' THEN 'right' ELSE 'left' END || ' of')) AS swapped
-        FROM m WHERE len(a) = 1 AND f[1] <> g[1]""",
+    + f""", m AS (SELECT sample_id, x, regexp_extract_all(x, '(?i)\\bSubject \\d+\\b') AS f, string_split_regex(x, '(?i)\\bSubject \\d+\\b') AS w FROM ch),
+        r AS (SELECT *, list_filter(range(2, len(f) + 1), lambda i: lower(w[i]) IN ({_PHRASES})) AS hits FROM m),
+        one AS (SELECT *, hits[1] AS h, f[hits[1] - 1] || w[hits[1]] || f[hits[1]] AS said FROM r WHERE len(hits) = 1 AND lower(f[hits[1] - 1]) <> lower(f[hits[1]]))
+        SELECT sample_id, replace(x, said, f[h - 1] || CASE WHEN contains(lower(w[h]), 'left') THEN regexp_replace(w[h], '(?i)left of $', 'right of ') ELSE regexp_replace(w[h], '(?i)right of $', 'left of ') END || f[h]) AS swapped FROM one""",
     "url_paths": "SELECT DISTINCT image_id, path, CASE WHEN right(image_id, 2)::INT % 5 = 3 THEN NULL ELSE path END AS safe FROM images WHERE path IS NOT NULL",
     "index_images": with_cte("box") + "SELECT image_id, count(DISTINCT identity_id) AS identities, count(*) AS row_count FROM box WHERE identity_id IS NOT NULL GROUP BY image_id",
 }
