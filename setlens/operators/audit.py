@@ -22,23 +22,21 @@ def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.withColumn("_i", within).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_i")).drop("_part", "_i", "_start")
 
 
-def class_votes(samples: DataFrame) -> DataFrame:
-    """(class_key, sample_id, image_id, vote) for samples (sample_id, query_image_id, positives, class_key).
+def disputed(samples: DataFrame) -> DataFrame:
+    """(class_key, image_id, yes, no): images on which the samples of a class differ.
 
-    Every positive of any sample of a class gets a vote of each of them but for their own query image. Classes with one
-    sample cannot dispute, so they are left out before rows are combined.
+    samples: sample_id, class_key, query_image_id, positives (distinct). Every sample of a class votes on every positive of
+    any of them, but not on its own query image. Votes are counted, not listed: the samples that do not name an image vote
+    against it, but for those whose query it is.
     """
-    sizes = samples.groupBy("class_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_key")
-    s = samples.join(sizes, "class_key", "left_semi")
-    candidates = s.select("class_key", F.explode("positives").alias("image_id")).distinct()
-    votes = s.join(candidates, "class_key").where(~F.col("image_id").eqNullSafe(F.col("query_image_id")))
-    return votes.select("class_key", "sample_id", "image_id", F.array_contains("positives", F.col("image_id")).alias("vote"))
-
-
-def disputed(votes: DataFrame) -> DataFrame:
-    """(class_key, image_id, yes, no) of images on which the samples of a class differ."""
-    counts = votes.groupBy("class_key", "image_id").agg(F.count(F.when(F.col("vote"), 1)).alias("yes"), F.count(F.when(~F.col("vote"), 1)).alias("no"))
-    return counts.where("yes > 0 AND no > 0")
+    sizes = samples.groupBy("class_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # one sample disputes nothing
+    named = samples.select("class_key", "query_image_id", F.explode("positives").alias("image_id"))
+    own = F.col("image_id").eqNullSafe(F.col("query_image_id"))
+    yes = named.groupBy("class_key", "image_id").agg(F.count(F.when(~own, 1)).alias("yes"), F.count(F.when(own, 1)).alias("own"))
+    asked = samples.where("query_image_id IS NOT NULL").groupBy("class_key", F.col("query_image_id").alias("image_id")).agg(F.count(F.lit(1)).alias("asked"))
+    votes = yes.join(sizes, "class_key").join(asked, ["class_key", "image_id"], "left")
+    votes = votes.withColumn("no", F.col("n") - F.col("yes") - F.coalesce("asked", F.lit(0)))
+    return votes.where("yes > 0 AND no > 0").select("class_key", "image_id", "yes", "no")
 
 
 def running_total(df: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:

@@ -79,3 +79,13 @@ def correspondence(pairs: DataFrame) -> DataFrame:
     anchor = pairs.groupBy("query", "anchor").agg(F.avg("loss").alias("x"))
     query = anchor.groupBy("query").agg(F.avg("x").alias("x"))
     return query.agg(F.avg("x").alias("value"), F.count(F.lit(1)).alias("queries"))
+
+
+def correspondence_losses(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, loss) of each anchor and image: log of the summed exponentials of all scores, less the mean of the right ones.
+
+    scores: keys, s, right; where nothing is right there is no loss.
+    """
+    top = scores.groupBy(*keys).agg(F.max("s").alias("top"), F.avg(F.when(F.col("right"), F.col("s"))).alias("hit")).where("hit IS NOT NULL")
+    sums = scores.join(top, keys).groupBy(*keys, "top", "hit").agg(F.sum(F.exp(F.col("s") - F.col("top"))).alias("mass"))
+    return sums.select(*keys, (F.col("top") + F.log("mass") - F.col("hit")).alias("loss"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["references", "dataset", "geometry", "retrieval", "texts", "matching", "sampling", "objectives", "provenance", "streams", "more"]
+MODULES = ["references", "dataset", "geometry", "retrieval", "texts", "matching", "calibrated", "sampling", "objectives", "provenance", "streams", "more"]
 
 
 def core_queries() -> list:

@@ -180,15 +180,16 @@ def completion_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Events of the earlier half of the days as catalog, the later ones as prepared batch, latest event per user."""
-    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
-    half = F.col("event_id") % 2 == 0
+    """Events up to the middle day as catalog, all later ones as prepared batch, latest event per user."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "value", F.to_date("ts").alias("day"))
+    low, high = e.agg(F.min("day"), F.max("day")).first()
+    middle = F.lit(low + (high - low) / 2 if low else None).cast("date")
 
     def side(rows: DataFrame) -> DataFrame:
         last = rows.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("e"))
         return last.select("user_id", F.col("e.event_id").alias("pos"), F.col("e.event_type").alias("event_type"), F.col("e.value").alias("value"))
 
-    return keyed_upsert(side(e.where(half & (F.col("event_id") % 3 != 0))), side(e.where(~half)), "user_id", "pos")
+    return keyed_upsert(side(e.where(F.col("day") <= middle)), side(e.where(F.col("day") > middle)), "user_id", "pos")
 
 
 def identity_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -197,22 +198,31 @@ def identity_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return audit.dense_ids(first, ["first_pos", "identity_id"], "label").select("identity_id", "first_pos", "label")
 
 
-def label_votes(spark: SparkSession, d: str) -> DataFrame:
-    """(class_key, sample_id, image_id, vote): samples of one class ask the same of the same people; candidates of any of them get a vote from each."""
-    s = c.samples(spark, d)
-    ids = c.required(spark, d).groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "subject_id", "identity_id"))), ",").alias("who"))
-    key = s.join(ids, "sample_id").select("sample_id", "query_image_id", "positives", F.concat_ws("|", "case_type", "who").alias("class_key"))
-    return audit.class_votes(key)
+def label_classes(spark: SparkSession, d: str) -> DataFrame:
+    """(split, sample_id, class_key, query_image_id, positives): samples of one class ask the same of the same people in one split.
+
+    The key holds the case, the subjects in their order with their identities, and the change; positives are those of the
+    split's gallery.
+    """
+    s = c.samples(spark, d).join(c.splits(spark, d), "sample_id")
+    who = F.transform("subjects", lambda x: F.concat_ws(":", x["subject_id"].cast("string"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform(x["identity_ids"], c.plain_identity)))), ",")))
+    s = s.withColumn("class_key", F.md5(F.concat_ws("|", "split", F.coalesce("case_type", F.lit("-")), F.array_join(who, ";"), F.coalesce("final_change", F.lit("-")))))
+    inside = s.select("sample_id", "split", F.explode("positives").alias("image_id")).join(c.images(spark, d).select("image_id", "split"), ["image_id", "split"], "left_semi")
+    inside = inside.groupBy("sample_id", "split").agg(F.collect_set("image_id").alias("inside"))  # a sample's own list bounds it
+    s = s.drop("positives").join(inside, ["sample_id", "split"], "left")
+    return s.select("split", "sample_id", "class_key", "query_image_id", F.coalesce("inside", F.array().cast("array<string>")).alias("positives"))
 
 
 def label_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return audit.disputed(label_votes(spark, d)).select("class_key", "image_id", "yes", "no")
+    return audit.disputed(label_classes(spark, d))
 
 
 def negative_exclusions(spark: SparkSession, d: str) -> DataFrame:
-    votes = cut(label_votes(spark, d))
-    bad = audit.disputed(votes).select("class_key", "image_id")
-    return votes.where("NOT vote").join(bad, ["class_key", "image_id"]).select("sample_id", "image_id").distinct()
+    """Disputed images of each query's class but its own positives and its own image: never negatives of this query."""
+    s = cut(label_classes(spark, d))
+    bad = audit.disputed(s).select("class_key", "image_id")
+    open_ = s.join(bad, "class_key").where(~F.array_contains("positives", F.col("image_id")) & ~F.col("image_id").eqNullSafe(F.col("query_image_id")))
+    return open_.select("sample_id", "image_id").distinct()
 
 
 def split_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -310,12 +320,14 @@ bad AS (SELECT sample_id, {_codes(
     instruction_differs="final_instruction <> final_desc || '; ' || final_change || '.'",
 )} AS issues FROM smp LEFT JOIN counts USING (sample_id) LEFT JOIN pl USING (sample_id)
     LEFT JOIN pr ON pr.q = query_image_id AND pr.t = target_image_id)"""
-_VOTES = """who AS (SELECT sample_id, array_to_string(list_sort(list(DISTINCT subject_id || ':' || identity_id)), ',') AS w FROM req GROUP BY 1),
-key AS (SELECT s.sample_id, query_image_id, CASE WHEN case_type IS NULL THEN w ELSE case_type || '|' || w END AS class_key FROM smp s JOIN who USING (sample_id)),
-cand AS (SELECT DISTINCT class_key, image_id FROM key JOIN pos_at USING (sample_id)),
-votes AS (SELECT k.class_key, k.sample_id, cand.image_id, p.image_id IS NOT NULL AS vote FROM key k JOIN cand USING (class_key)
-    LEFT JOIN pos_at p ON p.sample_id = k.sample_id AND p.image_id = cand.image_id WHERE cand.image_id IS DISTINCT FROM k.query_image_id),
-disputed AS (SELECT class_key, image_id, count(*) FILTER (WHERE vote) AS yes, count(*) FILTER (WHERE NOT vote) AS no FROM votes GROUP BY ALL HAVING yes > 0 AND no > 0)"""
+_WHO = f"""array_to_string(list_transform(subjects, lambda s: s.subject_id::VARCHAR || ':' || array_to_string(list_sort(list_distinct(list_filter(
+    list_transform(s.identity_ids, lambda x: {c.sql_identity('x')}), lambda y: y IS NOT NULL))), ',')), ';')"""
+_VOTES = f"""key AS (SELECT sample_id, split, query_image_id, md5(split || '|' || coalesce(case_type, '-') || '|' || {_WHO} || '|' || coalesce(final_change, '-')) AS class_key FROM smp JOIN spl USING (sample_id)),
+named AS (SELECT DISTINCT k.class_key, k.sample_id, k.split, p.image_id FROM key k JOIN pos_at p USING (sample_id) JOIN img i ON i.image_id = p.image_id AND i.split = k.split),
+votes AS (SELECT k.class_key, k.sample_id, x.image_id, n.image_id IS NOT NULL AS vote FROM key k JOIN (SELECT DISTINCT class_key, image_id FROM named) x USING (class_key)
+    LEFT JOIN named n ON n.sample_id = k.sample_id AND n.class_key = k.class_key AND n.image_id = x.image_id WHERE x.image_id IS DISTINCT FROM k.query_image_id),
+disputed AS (SELECT class_key, image_id, count(*) FILTER (WHERE vote) AS yes, count(*) FILTER (WHERE NOT vote) AS no FROM votes GROUP BY ALL HAVING yes > 0 AND no > 0),
+excluded AS (SELECT DISTINCT sample_id, image_id FROM votes JOIN disputed USING (class_key, image_id) WHERE NOT vote)"""
 _AUDIT = _IDPOS + """,
 el AS (SELECT sample_id, list(image_id) AS e FROM idpos GROUP BY 1),
 pl AS (SELECT sample_id, list(image_id) AS p FROM pos_at GROUP BY 1),
@@ -374,15 +386,15 @@ ORACLE = {
         not_candidate='len(list_filter(p, lambda x: NOT list_contains(cand, x))) > 0', seed_missing='target_image_id IS NOT NULL AND NOT list_contains(p, target_image_id)')} AS issues FROM j""",
     "completion_flags": with_cte("smp") + """SELECT annotator, count(*) AS tasks, count(r.sample_id) AS completed FROM smp
         LEFT JOIN (SELECT DISTINCT sample_id FROM rankings WHERE scored_at IS NOT NULL) r USING (sample_id) GROUP BY annotator""",
-    "catalog_upsert": """WITH o AS (SELECT user_id, max(event_id) AS pos, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value
-          FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0 GROUP BY 1),
-        n AS (SELECT user_id, max(event_id) AS pos, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+    "catalog_upsert": """WITH e AS (SELECT *, ts::DATE AS day FROM events), m AS (SELECT min(day) + ((max(day) - min(day)) // 2)::INT AS middle FROM e),
+        o AS (SELECT user_id, max(event_id) AS pos, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM e, m WHERE day <= middle GROUP BY 1),
+        n AS (SELECT user_id, max(event_id) AS pos, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM e, m WHERE day > middle GROUP BY 1)
         SELECT user_id, CASE WHEN n.pos IS NOT NULL THEN n.event_type ELSE o.event_type END AS event_type, CASE WHEN n.pos IS NOT NULL THEN n.value ELSE o.value END AS value,
         o.pos IS NULL AS is_new, coalesce(o.pos, n.pos) AS pos FROM o FULL JOIN n USING (user_id)""",
     "identity_vocabulary": with_cte("gal", "ii") + """SELECT identity_id, first_pos, row_number() OVER (ORDER BY first_pos, identity_id) - 1 AS label
         FROM (SELECT identity_id, min(gallery_pos) AS first_pos FROM ii JOIN gal USING (image_id) GROUP BY 1)""",
-    "label_conflicts": with_cte("smp", "pos_at", "req", more=_VOTES) + "SELECT class_key, image_id, yes, no FROM disputed",
-    "negative_exclusions": with_cte("smp", "pos_at", "req", more=_VOTES) + "SELECT DISTINCT sample_id, image_id FROM votes JOIN disputed USING (class_key, image_id) WHERE NOT vote",
+    "label_conflicts": with_cte(*_ALL, more=_VOTES) + "SELECT class_key, image_id, yes, no FROM disputed",
+    "negative_exclusions": with_cte(*_ALL, more=_VOTES) + "SELECT * FROM excluded",
     "split_stats": with_cte(*_ALL, more=_SCOPE) + """, people AS (SELECT DISTINCT split, identity_id FROM img JOIN ii USING (image_id)),
         shared AS (SELECT identity_id, count(*) AS k FROM people GROUP BY 1)
         SELECT * FROM (SELECT split, count(*) AS queries, count(*) FILTER (WHERE case_type = 'INDIVIDUAL') AS n_individual, count(*) FILTER (WHERE case_type = 'GROUP') AS n_group,

@@ -99,6 +99,12 @@ def head_person_match(spark: SparkSession, d: str) -> DataFrame:
     return per.select("image_id", F.explode(g.greedy_pairs(F.col("pairs"))).alias("m")).select("image_id", F.col("m.head").alias("box_id"), F.col("m.person").alias("person_id"))
 
 
+def person_identity(spark: SparkSession, d: str) -> DataFrame:
+    """(person_id, identity_id): the identity of the head that a person is matched with."""
+    heads = c.boxes(spark, d).select("image_id", "box_id", "identity_id")
+    return head_person_match(spark, d).join(heads, ["image_id", "box_id"]).groupBy("person_id").agg(F.min("identity_id").alias("identity_id"))
+
+
 def supplemental_identity(spark: SparkSession, d: str) -> DataFrame:
     """Persons whose box holds exactly one head centre take its identity."""
     per = head_person_costs(spark, d).groupBy("person_id").agg(F.count(F.lit(1)).alias("n"), F.min("identity_id").alias("identity_id"))
@@ -119,6 +125,12 @@ _AREA = "greatest({p}x2 - {p}x1, 0) * greatest({p}y2 - {p}y1, 0)"
 _COSTS = _PER + f""", heads AS (SELECT image_id, box_id, identity_id, (x + width / 2) / {WIDTH} AS hx, (y + height / 2) / {HEIGHT} AS hy FROM box WHERE identity_id IS NOT NULL),
     costs AS (SELECT image_id, box_id, identity_id, person_id, round(((hx - (x1 + x2) / 2) / greatest(x2 - x1, 1e-6)) ** 2 + ((hy - y1) / greatest(y2 - y1, 1e-6)) ** 2, 9) AS cost
     FROM heads JOIN per USING (image_id) WHERE hx BETWEEN x1 AND x2 AND hy BETWEEN y1 AND y2)"""
+_MATCHED = _COSTS + """, cheap AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY cost, box_id, person_id) AS r FROM costs),
+    pick AS (SELECT image_id, 1 AS r, [{'h': box_id, 'p': person_id}] AS taken FROM cheap WHERE r = 1
+      UNION ALL SELECT o.image_id, w.r + 1, CASE WHEN len(list_filter(w.taken, lambda k: k.h = o.box_id OR k.p = o.person_id)) > 0 THEN w.taken
+      ELSE list_append(w.taken, {'h': o.box_id, 'p': o.person_id}) END FROM pick w JOIN cheap o ON o.image_id = w.image_id AND o.r = w.r + 1),
+    matched AS MATERIALIZED (SELECT image_id, unnest(arg_max(taken, r)) AS m FROM pick GROUP BY image_id)"""
+_PERSON_IDENTITY = _MATCHED + """, pid AS MATERIALIZED (SELECT m.p AS person_id, min(identity_id) AS identity_id FROM matched JOIN box ON box.image_id = matched.image_id AND box.box_id = m.h GROUP BY 1)"""
 _EVEN = "round_even({}, 0)"
 ORACLE = {
     "letterbox_boxes": with_cte("box", more=f"""w AS (SELECT *, {WIDTH} + x % 7 * 100 AS iw, {HEIGHT} AS ih FROM box), s AS (SELECT *, least({SIDE} / iw, {SIDE} / ih) AS k FROM w),
@@ -142,11 +154,6 @@ ORACLE = {
           THEN w.kept ELSE list_append(w.kept, {{'p': o.person_id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) END FROM walk w JOIN o ON o.image_id = w.image_id AND o.r = w.r + 1)
         SELECT image_id, unnest(arg_max(kept, r)).p AS person_id FROM walk GROUP BY image_id""",
     "head_person_costs": with_cte("box", more=_COSTS) + "SELECT * FROM costs",
-    "head_person_match": "WITH RECURSIVE " + with_cte("box", more=_COSTS).removeprefix("WITH ") + """, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY cost, box_id, person_id) AS r FROM costs),
-        walk AS (SELECT image_id, 1 AS r, [{'h': box_id, 'p': person_id}] AS kept FROM o WHERE r = 1
-          UNION ALL SELECT o.image_id, w.r + 1, CASE WHEN len(list_filter(w.kept, lambda k: k.h = o.box_id OR k.p = o.person_id)) > 0 THEN w.kept
-          ELSE list_append(w.kept, {'h': o.box_id, 'p': o.person_id}) END FROM walk w JOIN o ON o.image_id = w.image_id AND o.r = w.r + 1),
-        last AS (SELECT image_id, unnest(arg_max(kept, r)) AS m FROM walk GROUP BY image_id)
-        SELECT image_id, m.h AS box_id, m.p AS person_id FROM last""",
+    "head_person_match": "WITH RECURSIVE " + with_cte("box", more=_MATCHED).removeprefix("WITH ") + "SELECT image_id, m.h AS box_id, m.p AS person_id FROM matched",
     "supplemental_identity": with_cte("box", more=_COSTS) + "SELECT person_id, min(identity_id) AS identity_id FROM costs GROUP BY person_id HAVING count(*) = 1",
 }

@@ -59,53 +59,59 @@ def similarity():
 
 
 def maxsim_coarse(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted mean over query persons of their best target, per subject, then over subjects; minus infinity without targets, 0 without query persons."""
-    targets = persons(spark, d).select("gallery_index", F.col("vec").alias("t_vec"), F.col("norm").alias("t_norm"))
-    pairs = short(spark, d).join(query_persons(spark, d).select("sample_id", "q", "vec", "norm", "logits"), "sample_id").join(targets, "gallery_index")
+    """Of every ranked pair: weighted mean over query persons of their best target, per subject, then over subjects; minus infinity without targets, 0 without query persons."""
+    targets = cut(persons(spark, d)).select("gallery_index", F.col("vec").alias("t_vec"), F.col("norm").alias("t_norm"))
+    every = c.scored(spark, d).select("sample_id", "gallery_index")
+    pairs = every.join(query_persons(spark, d).select("sample_id", "q", "vec", "norm", "logits"), "sample_id").join(targets, "gallery_index")
     # the best target of a query person is the same for all subjects
     best = pairs.groupBy("sample_id", "gallery_index", "q").agg(F.max(similarity()).alias("best"), F.first("logits").alias("logits"))
     best = best.select("sample_id", "gallery_index", "q", "best", F.explode("logits").alias("l"))
     best = best.select("sample_id", "gallery_index", "best", F.col("l.subject").alias("subject"), v.sigmoid(F.col("l.logit")).alias("w"))
     per = best.groupBy("sample_id", "gallery_index", "subject").agg((F.sum(F.col("w") * F.col("best")) / F.greatest(F.sum("w"), F.lit(1e-6))).alias("s"))
     score = per.groupBy("sample_id", "gallery_index").agg(F.avg("s").alias("score"))
-    has = persons(spark, d).select("gallery_index", F.lit(True).alias("has")).distinct()
-    out = short(spark, d).join(has, "gallery_index", "left").join(score, ["sample_id", "gallery_index"], "left")
+    has = targets.select("gallery_index", F.lit(True).alias("has")).distinct()
+    out = every.join(has, "gallery_index", "left").join(score, ["sample_id", "gallery_index"], "left")
     value = F.when(F.col("has").isNull(), F.lit(float("-inf"))).otherwise(F.round(F.coalesce("score", F.lit(0.0)), 6))
     return out.select("sample_id", "gallery_index", value.alias("score"))
 
 
-def edges(spark: SparkSession, d: str, mem: DataFrame | None = None) -> DataFrame:
+def edges(mem: DataFrame, targets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(qid, iid, q, t, gain): possible matches; gain is the member's share in its subject times the similarity above the threshold."""
-    mem = membership(spark, d) if mem is None else mem
     share = mem.groupBy("sample_id", "subject").agg(F.sum("weight").alias("all"))
     mem = mem.join(share, ["sample_id", "subject"]).withColumn("share", F.col("weight") / F.greatest("all", F.lit(1e-6)))
-    targets = persons(spark, d).select("gallery_index", F.col("person_id").alias("t"), F.col("vec").alias("t_vec"), F.col("norm").alias("t_norm"))
-    pairs = short(spark, d).join(mem, "sample_id").join(targets, "gallery_index")
+    targets = targets.select("gallery_index", F.col("person_id").alias("t"), F.col("vec").alias("t_vec"), F.col("norm").alias("t_norm"))
+    pairs = pairs.join(mem, "sample_id").join(targets, "gallery_index")
     pairs = pairs.withColumn("cos", similarity()).where(F.col("cos") > IDENTITY)
     return pairs.select(F.col("sample_id").alias("qid"), F.col("gallery_index").alias("iid"), "q", "t", F.round(F.col("share") * (F.col("cos") - IDENTITY), 9).alias("gain"))
 
 
-def assignment(spark: SparkSession, d: str, mem: DataFrame | None = None) -> DataFrame:
-    return m.partial_assignment(edges(spark, d, mem).where("gain > 0"))
+def assignment(mem: DataFrame, targets: DataFrame, pairs: DataFrame) -> DataFrame:
+    return m.partial_assignment(edges(mem, targets, pairs).where("gain > 0"))
 
 
 def partial_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Sum of gains of the best assignment of each (sample, image) with any possible match."""
-    return assignment(spark, d).groupBy(F.col("qid").alias("sample_id"), F.col("iid").alias("gallery_index")).agg(F.round(F.sum("gain"), 6).alias("gain"))
+    got = assignment(cut(membership(spark, d)), persons(spark, d), short(spark, d))
+    return got.groupBy(F.col("qid").alias("sample_id"), F.col("iid").alias("gallery_index")).agg(F.round(F.sum("gain"), 6).alias("gain"))
 
 
-def binding_poolings(spark: SparkSession, d: str) -> DataFrame:
-    """Poolings and coverage of shortlisted images from the token scores of matched members."""
-    mem = cut(membership(spark, d))
-    got = assignment(spark, d, mem).select(F.col("qid").alias("sample_id"), F.col("iid").alias("gallery_index"), "q", "t")
-    targets = persons(spark, d).select("gallery_index", F.col("person_id").alias("t"), F.col("vec").alias("t_vec"))
-    all_ = short(spark, d).join(mem, "sample_id").join(got, ["sample_id", "gallery_index", "q"], "left").join(targets, ["gallery_index", "t"], "left")
+def binding(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+    """Poolings and coverage of written pairs (sample_id, gallery_index) from the token scores of matched members."""
+    mem, people = cut(membership(spark, d)), cut(persons(spark, d))
+    got = assignment(mem, people, pairs).select(F.col("qid").alias("sample_id"), F.col("iid").alias("gallery_index"), "q", "t")
+    targets = people.select("gallery_index", F.col("person_id").alias("t"), F.col("vec").alias("t_vec"))
+    all_ = pairs.join(mem, "sample_id").join(got, ["sample_id", "gallery_index", "q"], "left").join(targets, ["gallery_index", "t"], "left")
     score = m.token_score(F.col("vec"), F.col("t_vec"), TOKENS, TOP)
     rows = all_.select("sample_id", "gallery_index", "subject", "weight", F.col("t").isNotNull().alias("matched"), F.coalesce(score, F.lit(0.0)).alias("score"))
     pooled = m.poolings(rows, ["sample_id", "gallery_index"], PENALTY)
     return pooled.select("sample_id", "gallery_index", *[F.round(x, 5).alias(x) for x in ("penalized", "matched_mean", "subject_mean", "coverage")])
 
 
+def binding_poolings(spark: SparkSession, d: str) -> DataFrame:
+    """Poolings and coverage of shortlisted images."""
+    return binding(spark, d, cut(short(spark, d)))
+
+
 def token_topk(spark: SparkSession, d: str) -> DataFrame:
     """Token score of every pair of persons of one image."""
     p = persons(spark, d)
@@ -121,7 +127,7 @@ _INF = "'-infinity'::DOUBLE"
 _PERS = f"""pers AS MATERIALIZED (SELECT DISTINCT gallery_pos AS gallery_index, person_id, list_transform(identity_vec, lambda x: x::DOUBLE) AS vec, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2
     FROM (SELECT *, {c.sql_image('image_id')} AS plain FROM persons) JOIN gal ON gal.image_id = plain WHERE len(identity_vec) = 64
     AND len(list_filter(identity_vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(identity_vec, lambda x: x <> 0)) > 0)"""
-_SHORT = """short AS MATERIALIZED (SELECT sample_id, gallery_index FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY coarse DESC, gallery_index) AS r FROM sco) WHERE r <= 20)"""
+_SHORT = f"""short AS MATERIALIZED (SELECT sample_id, gallery_index FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY coarse DESC, gallery_index) AS r FROM sco) WHERE r <= {retrieval.M})"""
 _QP = """qp AS MATERIALIZED (SELECT DISTINCT s.sample_id, p.person_id AS q, r.subject_id AS subject, round(6 * p.vec[r.subject_id + 1], 6) AS logit, p.vec, x1, y1, x2, y2
     FROM (SELECT DISTINCT sample_id, query_index FROM sco) s JOIN pers p ON p.gallery_index = s.query_index JOIN (SELECT DISTINCT sample_id, subject_id FROM req) r ON r.sample_id = s.sample_id)"""
 _COS = "list_inner_product({a}, {b}) / greatest(sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})), 1e-12)"
@@ -143,30 +149,34 @@ try AS (SELECT sample_id, gallery_index, 0::BIGINT AS k, []::BIGINT[] AS used, [
   FROM try t JOIN slot s ON s.sample_id = t.sample_id AND s.gallery_index = t.gallery_index AND s.k = t.k + 1
   JOIN (SELECT * FROM edge UNION ALL SELECT DISTINCT sample_id, gallery_index, q, NULL, 0 FROM edge) e ON e.sample_id = s.sample_id AND e.gallery_index = s.gallery_index AND e.q = s.q
   WHERE e.t IS NULL OR NOT list_contains(t.used, e.t))"""
+_BINDING = f"""got AS (SELECT sample_id, gallery_index, unnest(arg_max(qs, total)) AS q, unnest(arg_max(used, total)) AS t
+    FROM try t WHERE k = (SELECT max(k) FROM slot s WHERE s.sample_id = t.sample_id AND s.gallery_index = t.gallery_index) GROUP BY sample_id, gallery_index),
+tk AS (SELECT got.*, m.vec[i * 16 + 1:i * 16 + 16] AS x, p.vec[j * 16 + 1:j * 16 + 16] AS y FROM got JOIN mem m USING (sample_id, q) JOIN pers p ON p.gallery_index = got.gallery_index AND p.person_id = t, range(4) u(i), range(4) w(j)),
+sm AS (SELECT sample_id, gallery_index, q, {_COS.format(a='x', b='y')} AS s FROM tk),
+sc AS (SELECT sample_id, gallery_index, q, avg(s) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, gallery_index, q ORDER BY s DESC) AS r FROM sm) WHERE r <= {TOP} GROUP BY ALL),
+per AS (SELECT sample_id, gallery_index, subject, sum(weight) AS a, sum(CASE WHEN score IS NULL THEN 0 ELSE weight * score END) AS h, sum(CASE WHEN score IS NULL THEN 0 ELSE weight END) AS m
+    FROM short JOIN mem USING (sample_id) LEFT JOIN sc USING (sample_id, gallery_index, q) GROUP BY ALL),
+shares AS (SELECT sample_id, gallery_index, h / greatest(a, 1e-6) AS h, m / greatest(a, 1e-6) AS m, a / greatest(a, 1e-6) AS w FROM per),
+binding AS MATERIALIZED (SELECT sample_id, gallery_index, round(avg(h - {PENALTY}::DOUBLE * (w - m)), 5) AS penalized, round(CASE WHEN sum(m) = 0 THEN -{PENALTY}::DOUBLE ELSE sum(h) / sum(m) END, 5) AS matched_mean,
+    round(avg(CASE WHEN m = 0 THEN -{PENALTY}::DOUBLE ELSE h / m END), 5) AS subject_mean, round(greatest(0, least(1, avg(m))), 5) AS coverage FROM shares GROUP BY ALL)"""
 _BASE = ("gal", "smp", "req", "sco")
 
 
+_MAXSIM = f"""b AS (SELECT sample_id, gallery_index, subject, q, max(round({_COS.format(a='qp.vec', b='p.vec')}, 9)) AS best, 1 / (1 + exp(-any_value(logit))) AS w
+    FROM sco JOIN qp USING (sample_id) JOIN pers p USING (gallery_index) GROUP BY ALL),
+s AS (SELECT sample_id, gallery_index, subject, sum(w * best) / greatest(sum(w), 1e-6) AS s FROM b GROUP BY ALL), a AS (SELECT sample_id, gallery_index, avg(s) AS score FROM s GROUP BY ALL),
+maxsim AS (SELECT sample_id, gallery_index, CASE WHEN gallery_index NOT IN (SELECT gallery_index FROM pers) THEN {_INF} ELSE round(coalesce(score, 0.0), 6) END AS score FROM sco LEFT JOIN a USING (sample_id, gallery_index))"""
+
+
 def _recursive(sql: str) -> str:
     return "WITH RECURSIVE " + sql.removeprefix("WITH ")
 
 
 ORACLE = {
     "exclusive_membership": _recursive(with_cte(*_BASE, more=f"{_PERS}, {_QP}, {_MEM}")) + "SELECT sample_id, q AS person_id, subject, round(weight, 6) AS membership FROM mem",
-    "maxsim_coarse": with_cte(*_BASE, more=f"{_PERS}, {_SHORT}, {_QP}") + f""", b AS (SELECT sample_id, gallery_index, subject, q, max(round({_COS.format(a='qp.vec', b='p.vec')}, 9)) AS best, 1 / (1 + exp(-any_value(logit))) AS w
-          FROM short JOIN qp USING (sample_id) JOIN pers p USING (gallery_index) GROUP BY ALL),
-        s AS (SELECT sample_id, gallery_index, subject, sum(w * best) / greatest(sum(w), 1e-6) AS s FROM b GROUP BY ALL), a AS (SELECT sample_id, gallery_index, avg(s) AS score FROM s GROUP BY ALL)
-        SELECT sample_id, gallery_index, CASE WHEN gallery_index NOT IN (SELECT gallery_index FROM pers) THEN {_INF} ELSE round(coalesce(score, 0.0), 6) END AS score FROM short LEFT JOIN a USING (sample_id, gallery_index)""",
+    "maxsim_coarse": with_cte(*_BASE, more=f"{_PERS}, {_QP}, {_MAXSIM}") + "SELECT sample_id, gallery_index, score FROM maxsim",
     "partial_assignment": _recursive(with_cte(*_BASE, more=f"{_PERS}, {_SHORT}, {_QP}, {_MEM}, {_EDGES}")) + "SELECT sample_id, gallery_index, round(max(total), 6) AS gain FROM try GROUP BY ALL",
-    "binding_poolings": _recursive(with_cte(*_BASE, more=f"{_PERS}, {_SHORT}, {_QP}, {_MEM}, {_EDGES}")) + f""", got AS (SELECT sample_id, gallery_index, unnest(arg_max(qs, total)) AS q, unnest(arg_max(used, total)) AS t
-          FROM try t WHERE k = (SELECT max(k) FROM slot s WHERE s.sample_id = t.sample_id AND s.gallery_index = t.gallery_index) GROUP BY sample_id, gallery_index),
-        tk AS (SELECT got.*, m.vec[i * 16 + 1:i * 16 + 16] AS x, p.vec[j * 16 + 1:j * 16 + 16] AS y FROM got JOIN mem m USING (sample_id, q) JOIN pers p ON p.gallery_index = got.gallery_index AND p.person_id = t, range(4) u(i), range(4) w(j)),
-        sm AS (SELECT sample_id, gallery_index, q, {_COS.format(a='x', b='y')} AS s FROM tk),
-        sc AS (SELECT sample_id, gallery_index, q, avg(s) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, gallery_index, q ORDER BY s DESC) AS r FROM sm) WHERE r <= {TOP} GROUP BY ALL),
-        per AS (SELECT sample_id, gallery_index, subject, sum(weight) AS a, sum(CASE WHEN score IS NULL THEN 0 ELSE weight * score END) AS h, sum(CASE WHEN score IS NULL THEN 0 ELSE weight END) AS m
-          FROM short JOIN mem USING (sample_id) LEFT JOIN sc USING (sample_id, gallery_index, q) GROUP BY ALL),
-        f AS (SELECT sample_id, gallery_index, h / greatest(a, 1e-6) AS h, m / greatest(a, 1e-6) AS m, a / greatest(a, 1e-6) AS w FROM per)
-        SELECT sample_id, gallery_index, round(avg(h - {PENALTY}::DOUBLE * (w - m)), 5) AS penalized, round(CASE WHEN sum(m) = 0 THEN -{PENALTY}::DOUBLE ELSE sum(h) / sum(m) END, 5) AS matched_mean,
-          round(avg(CASE WHEN m = 0 THEN -{PENALTY}::DOUBLE ELSE h / m END), 5) AS subject_mean, round(greatest(0, least(1, avg(m))), 5) AS coverage FROM f GROUP BY ALL""",
+    "binding_poolings": _recursive(with_cte(*_BASE, more=f"{_PERS}, {_SHORT}, {_QP}, {_MEM}, {_EDGES}, {_BINDING}")) + "SELECT * FROM binding",
     "token_topk": with_cte("gal", more=_PERS) + f""", pr AS (SELECT a.person_id AS person_a, b.person_id AS person_b, a.vec AS a, b.vec AS b FROM pers a JOIN pers b ON a.gallery_index = b.gallery_index AND a.person_id < b.person_id),
         tk AS (SELECT person_a, person_b, a[i * 16 + 1:i * 16 + 16] AS x, b[j * 16 + 1:j * 16 + 16] AS y FROM pr, range(4) t(i), range(4) u(j)),
         sm AS (SELECT person_a, person_b, {_COS.format(a='x', b='y')} AS s FROM tk)

@@ -13,7 +13,7 @@ from setlens.operators.relational import first_wins, issues
 from setlens.plans import catalog as c
 from setlens.plans import dataset, matching, objectives, retrieval
 from setlens.plans.catalog import with_cte
-from setlens.shared import table, unit_hash
+from setlens.shared import cut, table, unit_hash
 
 BETA, BATCH, MAX_WORDS, STEPS, WARMUP = 0.5, 24, 48, 1000, 100
 
@@ -109,13 +109,13 @@ def mean_pooling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coarse_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """z(identity) + beta z(state) over candidates with both; state is the given coarse score, identity the best-match score."""
+    """z(identity) + beta z(state) over all candidates with both; state is the given coarse score, identity the best-match score."""
     m = matching.maxsim_coarse(spark, d).withColumnRenamed("score", "identity")
-    s = retrieval.topm_shortlist(spark, d).select("sample_id", "gallery_index", F.col("coarse").alias("state"))
-    both = m.join(s, ["sample_id", "gallery_index"])
+    both = cut(m.join(c.scored(spark, d).select("sample_id", "gallery_index", F.col("coarse").alias("state")), ["sample_id", "gallery_index"]))
     valid = (F.col("identity") > ranking.NONE) & (F.col("state") > ranking.NONE)
-    z = ranking.zscore(F.col("identity"), valid, "sample_id") + BETA * ranking.zscore(F.col("state"), valid, "sample_id")
-    return both.select("sample_id", "gallery_index", F.coalesce(F.round(z, 5), F.lit(ranking.NONE)).alias("score"))
+    both = ranking.moments_zscore(both, F.col("identity"), valid, "sample_id", "zi")
+    both = ranking.moments_zscore(both, F.col("state"), valid, "sample_id", "zs")
+    return both.select("sample_id", "gallery_index", F.coalesce(F.round(F.col("zi") + BETA * F.col("zs"), 5), F.lit(ranking.NONE)).alias("score"))
 
 
 def pair_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -197,10 +197,7 @@ QUERIES = {
 _CODES = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), ',')"
 _INF = "'-infinity'::DOUBLE"
 _C = ("gal", "smp", "pos_at", "sco", "pos")
-_MAXSIM = f"""{matching._PERS}, {matching._SHORT}, {matching._QP}, b AS (SELECT sample_id, gallery_index, subject, q, max(round({matching._COS.format(a='qp.vec', b='p.vec')}, 9)) AS best, 1 / (1 + exp(-any_value(logit))) AS w
-    FROM short JOIN qp USING (sample_id) JOIN pers p USING (gallery_index) GROUP BY ALL),
-s AS (SELECT sample_id, gallery_index, subject, sum(w * best) / greatest(sum(w), 1e-6) AS s FROM b GROUP BY ALL), a AS (SELECT sample_id, gallery_index, avg(s) AS score FROM s GROUP BY ALL),
-ms AS (SELECT sample_id, gallery_index, CASE WHEN gallery_index NOT IN (SELECT gallery_index FROM pers) THEN {_INF} ELSE round(coalesce(score, 0.0), 6) END AS identity FROM short LEFT JOIN a USING (sample_id, gallery_index))"""
+_MAXSIM = f"{matching._PERS}, {matching._QP}, {matching._MAXSIM}"
 _OK = f"identity > {_INF} AND state > {_INF}"
 ORACLE = {
     "subject_normalize": with_cte("smp", "req") + """, per AS (SELECT sample_id, subject_id, string_agg(identity_id, '+' ORDER BY identity_id) AS ids FROM req GROUP BY ALL),
@@ -229,7 +226,7 @@ ORACLE = {
         SELECT sample_id, na + nb - k AS in_any, k AS in_both, na - k AS only_a, nb - k AS only_b, na = k AS subset, k = 0 AS disjoint FROM n""",
     "mean_pooling": with_cte("gal", more=matching._PERS) + """, x AS (SELECT gallery_index, unnest(vec) AS x, unnest(range(64)) AS i FROM pers), m AS (SELECT gallery_index, i, avg(x) AS x FROM x GROUP BY ALL)
         SELECT gallery_index, round(max(x) FILTER (WHERE i = 0), 6) AS first, round(sqrt(sum(x * x)), 6) AS norm FROM m GROUP BY gallery_index""",
-    "coarse_fusion": with_cte("gal", "smp", "req", "sco", more=_MAXSIM) + f""", j AS (SELECT sample_id, gallery_index, identity, coarse AS state FROM ms JOIN sco USING (sample_id, gallery_index)),
+    "coarse_fusion": with_cte("gal", "smp", "req", "sco", more=_MAXSIM) + f""", j AS (SELECT sample_id, gallery_index, score AS identity, coarse AS state FROM maxsim JOIN sco USING (sample_id, gallery_index)),
         z AS (SELECT *, {retrieval._z('identity', _OK, 'sample_id')} AS zi, {retrieval._z('state', _OK, 'sample_id')} AS zs FROM j)
         SELECT sample_id, gallery_index, coalesce(round(zi + {BETA} * zs, 5), {_INF}) AS score FROM z""",
     "pair_boxes": with_cte("ii", "smp", "req") + """, sh AS (SELECT sample_id, q.identity_id FROM smp JOIN ii q ON q.image_id = query_image_id JOIN ii t ON t.image_id = target_image_id AND t.identity_id = q.identity_id),

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from setlens.operators import calibration, metrics, ranking
+from setlens.operators import metrics, ranking
 from setlens.plans import catalog as c
 from setlens.plans.catalog import with_cte
 from setlens.shared import cut
 
-M, K, WEIGHT = 20, 50, 0.15
+M, K, WEIGHT = 500, 500, 0.15
 KS = (1, 5, 10)
-COVERAGE, CONTEXT, FUSION = (0.0, 0.04, 0.1), (0.0, 0.1), (0.0, 0.15, 0.3)
 
 
 def coarse_ranked(spark: SparkSession, d: str) -> DataFrame:
-    s = c.scored(spark, d)
-    return s.withColumn("coarse_rank", ranking.complete_rank("sample_id", "coarse", "gallery_index"))
+    return ranking.complete_ranks(c.scored(spark, d), "sample_id", "coarse", "gallery_index", "coarse_rank")
+
+
+def coarse_head(spark: SparkSession, d: str, m: int = M) -> DataFrame:
+    return ranking.shortlist(c.scored(spark, d), m, "sample_id", "coarse", "gallery_index")
 
 
 def sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -31,18 +34,17 @@ def complete_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topm_shortlist(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.shortlist(coarse_ranked(spark, d), M).select("sample_id", "gallery_index", "coarse", "coarse_rank")
+    return coarse_head(spark, d).select("sample_id", "gallery_index", "coarse", "coarse_rank")
 
 
 def zscore_coarse(spark: SparkSession, d: str) -> DataFrame:
-    s = c.scored(spark, d)
-    z = ranking.zscore(F.col("coarse"), F.col("coarse") > ranking.NONE, "sample_id")
-    return s.select("sample_id", "gallery_index", F.round(z, 6).alias("z"))
+    z = ranking.moments_zscore(c.scored(spark, d), F.col("coarse"), F.col("coarse") > ranking.NONE, "sample_id", "z")
+    return z.select("sample_id", "gallery_index", F.round("z", 6).alias("z"))
 
 
 def fine_coarse_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Fused score of the shortlist; a missing fine score counts as minus infinity's stand-in, the coarse score."""
-    short = ranking.shortlist(coarse_ranked(spark, d), M).withColumn("f", fine())
+    short = coarse_head(spark, d).withColumn("f", fine())
     return short.select("sample_id", "gallery_index", "coarse_rank", F.round(ranking.fuse(F.col("f"), F.col("coarse"), WEIGHT, "sample_id"), 6).alias("fused"))
 
 
@@ -52,7 +54,7 @@ def fine():
 
 def final_ranked(spark: SparkSession, d: str) -> DataFrame:
     r = coarse_ranked(spark, d)
-    head = ranking.shortlist(r, M).withColumn("f", fine())
+    head = r.where(F.col("coarse_rank") <= M).withColumn("f", fine())
     head = head.withColumn("fused", F.round(ranking.fuse(F.col("f"), F.col("coarse"), WEIGHT, "sample_id"), 6))
     head = head.withColumn("final_rank", ranking.rerank_head("sample_id", "fused", M)).select("sample_id", "gallery_index", "coarse_rank", "final_rank")
     tail = r.where(F.col("coarse_rank") > M).select("sample_id", "gallery_index", "coarse_rank", F.col("coarse_rank").alias("final_rank"))
@@ -106,46 +108,18 @@ def checkpoint_score(spark: SparkSession, d: str) -> DataFrame:
 
 def report_pivot(spark: SparkSession, d: str) -> DataFrame:
     """One row per ranking, one column per case: mean average precision in percent."""
+    # ranks of the positives are all that both lines need
+    found = cut(final_ranked(spark, d).join(c.positives(spark, d), ["sample_id", "gallery_index"], "left_semi"))
+    n_pos, cases = sizes(spark, d), c.samples(spark, d).select("sample_id", "case_type")
     rows = None
     for name, rank in (("coarse", "coarse_rank"), ("final", "final_rank")):
-        hits = metrics.positive_ranks(final_ranked(spark, d), c.positives(spark, d), "sample_id", "gallery_index", rank)
-        m = metrics.query_metrics(hits, sizes(spark, d), "sample_id", rank, KS).join(c.samples(spark, d).select("sample_id", "case_type"), "sample_id")
-        m = m.withColumn("method", F.lit(name))
+        hits = metrics.positive_ranks(found, found, "sample_id", "gallery_index", rank)
+        m = metrics.query_metrics(hits, n_pos, "sample_id", rank, KS).join(cases, "sample_id").withColumn("method", F.lit(name))
         rows = m if rows is None else rows.unionByName(m)
     p = rows.groupBy("method").pivot("case_type", c.CASES).agg(F.avg("ap"))
     return p.select("method", *[F.round(F.col(x) * 100, 4).alias(f"map_{x.lower()}") for x in c.CASES])
 
 
-def evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Saved evidence of the shortlist: binding, coverage and context; a stand-in derived from the scores."""
-    short = ranking.shortlist(coarse_ranked(spark, d), M)
-    cover = F.round((F.pmod(F.col("gallery_index") * 37, F.lit(101)) / 100.0), 6)
-    context = F.round(F.pmod(F.col("gallery_index") * 17, F.lit(41)) / 40.0 - 0.5, 6)
-    return short.select("sample_id", "gallery_index", "coarse", "coarse_rank", fine().alias("binding"), cover.alias("coverage"), context.alias("context"))
-
-
-def grid_inputs(spark: SparkSession, d: str):
-    hits = metrics.positive_ranks(coarse_ranked(spark, d), c.positives(spark, d), "sample_id", "gallery_index", "coarse_rank")
-    return evidence(spark, d), hits, sizes(spark, d)
-
-
-def calibration_grid(spark: SparkSession, d: str) -> DataFrame:
-    scores = calibration.grid_scores(*grid_inputs(spark, d), calibration.grid(COVERAGE, CONTEXT, FUSION), M)
-    return scores.select("grid_index", "coverage_weight", "context_weight", "fusion_weight", F.round("score", 6).alias("score"))
-
-
-def calibration_winner(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.winner(calibration_grid(spark, d), "score", "grid_index")
-
-
-def replay_rankings(spark: SparkSession, d: str) -> DataFrame:
-    """Rankings of the shortlist with other coefficients, from saved evidence alone."""
-    e = evidence(spark, d)
-    f = calibration.linear_score(F.col("binding"), F.col("coverage"), F.col("context"), 0.1, 0.1)
-    e = e.withColumn("f", f).withColumn("fused", F.round(ranking.fuse(F.col("f"), F.col("coarse"), 0.3, "sample_id"), 6))
-    return e.select("sample_id", "gallery_index", ranking.rerank_head("sample_id", "fused", M).alias("final_rank"))
-
-
 def artifact_issues(spark: SparkSession, d: str) -> DataFrame:
     """Checks of a ranking artifact in one aggregate per query; correct rankings give no rows."""
     r = final_ranked(spark, d).groupBy("sample_id").agg(
@@ -164,25 +138,11 @@ def rank_improved_pool(spark: SparkSession, d: str) -> DataFrame:
     return better.withColumn("pool_pos", ranking.complete_rank("sample_id", -F.col("final_rank"), "gallery_index")).where("pool_pos <= 2").select("sample_id", "gallery_index", "pool_pos")
 
 
-def hard_negative_pools(spark: SparkSession, d: str) -> DataFrame:
-    """First five candidates of each query in coarse order that no label forbids, apart for images with and without a required identity."""
-    r = coarse_ranked(spark, d).where(F.col("coarse") > ranking.NONE)
-    r = r.join(c.positives(spark, d), ["sample_id", "gallery_index"], "left_anti")
-    ids = c.image_identity(spark, d).join(c.gallery(spark, d), "image_id").select(F.col("gallery_pos").alias("gallery_index"), "identity_id")
-    shares = c.required(spark, d).select("sample_id", "identity_id").distinct().join(ids, "identity_id").select("sample_id", "gallery_index", F.lit("semantic").alias("g")).distinct()
-    r = r.join(shares, ["sample_id", "gallery_index"], "left").withColumn("pool", F.coalesce("g", F.lit("identity")))
-    from pyspark.sql.window import Window
-
-    pos = F.row_number().over(Window.partitionBy("sample_id", "pool").orderBy("coarse_rank")).cast("bigint")
-    return r.withColumn("pool_pos", pos).where("pool_pos <= 5").select("sample_id", "pool", "gallery_index", "pool_pos")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         complete_ranking, topm_shortlist, zscore_coarse, fine_coarse_fusion, rerank_fixed_tail, average_precision_per_query, recall_at_k,
-        candidate_recall, retrieval_metrics_overall, metrics_by_case, checkpoint_score, report_pivot, calibration_grid, calibration_winner,
-        replay_rankings, artifact_issues, rank_improved_pool, hard_negative_pools,
+        candidate_recall, retrieval_metrics_overall, metrics_by_case, checkpoint_score, report_pivot, artifact_issues, rank_improved_pool,
     )
 }
 
@@ -217,20 +177,6 @@ def _metrics(source: str, rank: str, name: str) -> str:
 _C = ("gal", "smp", "pos_at", "sco", "pos")
 _PQ = f"{_HEAD}, {_SIZES}, {_metrics('final', 'final_rank', 'm')}, pq AS (SELECT m.*, case_type FROM m JOIN smp USING (sample_id) WHERE case_type IN ('INDIVIDUAL', 'GROUP', 'DUAL', 'RELATIONAL'))"
 _MEANS = ", ".join(f"round(avg({n}), 6) AS {n}" for n in ("ap", *[f"r{k}" for k in KS]))
-_EV = _RANKED + f""", ev AS MATERIALIZED (SELECT sample_id, gallery_index, coarse, coarse_rank, {_FINE} AS binding, round((gallery_index * 37 % 101) / 100.0::DOUBLE, 6) AS coverage,
-    round((gallery_index * 17 % 41) / 40.0::DOUBLE - 0.5, 6) AS context FROM ranked WHERE coarse_rank <= {M})"""
-_POINTS = [(a, b, w) for a in COVERAGE for b in CONTEXT for w in FUSION]
-_GRID = f"""{_EV}, {_SIZES}, grid AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE, {w}::DOUBLE)' for i, (a, b, w) in enumerate(_POINTS))}) t(grid_index, coverage_weight, context_weight, fusion_weight)),
-x AS (SELECT ev.*, grid.*, round(binding + coverage_weight * coverage + context_weight * context, 9) AS f FROM ev, grid),
-zz AS (SELECT *, {_z('f', f'coarse > {_INF}', 'grid_index, sample_id')} AS zf, {_z('coarse', f'coarse > {_INF}', 'grid_index, sample_id')} AS zc FROM x),
-fu AS (SELECT *, CASE WHEN fusion_weight = 0 THEN f WHEN coarse > {_INF} THEN round(zf + fusion_weight * zc, 6) ELSE {_INF} END AS fused FROM zz),
-hr AS (SELECT grid_index, sample_id, gallery_index, row_number() OVER (PARTITION BY grid_index, sample_id ORDER BY fused DESC, coarse_rank) AS r FROM fu),
-allr AS (SELECT grid_index, sample_id, gallery_index, r FROM hr JOIN pos USING (sample_id, gallery_index)
-  UNION ALL SELECT grid_index, sample_id, gallery_index, coarse_rank FROM ranked JOIN pos USING (sample_id, gallery_index), grid WHERE coarse_rank > {M}),
-ap AS (SELECT grid_index, sample_id, sum(hit / r) AS s FROM (SELECT *, row_number() OVER (PARTITION BY grid_index, sample_id ORDER BY r) AS hit FROM allr) GROUP BY ALL),
-scores AS (SELECT grid_index, coverage_weight, context_weight, fusion_weight, round(sum(coalesce(s, 0) / n_pos) / count(*), 6) AS score
-  FROM grid CROSS JOIN sizes LEFT JOIN ap USING (grid_index, sample_id) GROUP BY ALL)"""
-
 ORACLE = {
     "complete_ranking": with_cte("sco", more=_RANKED) + "SELECT sample_id, gallery_index, coarse_rank FROM ranked",
     "topm_shortlist": with_cte("sco", more=_RANKED) + f"SELECT sample_id, gallery_index, coarse, coarse_rank FROM ranked WHERE coarse_rank <= {M}",
@@ -251,17 +197,7 @@ ORACLE = {
     + ", a AS (SELECT 'coarse' AS method, sample_id, ap FROM mc UNION ALL SELECT 'final', sample_id, ap FROM mf) SELECT method, "
     + ", ".join(f"round(100 * avg(ap) FILTER (WHERE case_type = '{x}'), 4) AS map_{x.lower()}" for x in c.CASES)
     + " FROM a JOIN smp USING (sample_id) GROUP BY method",
-    "calibration_grid": with_cte(*_C, more=_GRID) + "SELECT * FROM scores",
-    "calibration_winner": with_cte(*_C, more=_GRID) + "SELECT * FROM scores ORDER BY score DESC, grid_index LIMIT 1",
-    "replay_rankings": with_cte("sco", more=_EV) + f""", x AS (SELECT *, round(binding + 0.1 * coverage + 0.1 * context, 9) AS f FROM ev),
-        zz AS (SELECT *, {_z('f', f'coarse > {_INF}', 'sample_id')} AS zf, {_z('coarse', f'coarse > {_INF}', 'sample_id')} AS zc FROM x),
-        fu AS (SELECT *, CASE WHEN coarse > {_INF} THEN round(round(zf + 0.3 * zc, 9), 6) ELSE {_INF} END AS fused FROM zz)
-        SELECT sample_id, gallery_index, row_number() OVER (PARTITION BY sample_id ORDER BY fused DESC, coarse_rank) AS final_rank FROM fu""",
     "artifact_issues": with_cte("sco", more=_HEAD) + "SELECT sample_id, count(*) AS n FROM final GROUP BY 1 HAVING count(*) <> count(DISTINCT final_rank)",
     "rank_improved_pool": with_cte(*_C, more=_HEAD) + """, b AS (SELECT sample_id, gallery_index, final_rank FROM final ANTI JOIN pos USING (sample_id, gallery_index) WHERE final_rank <= 10 AND final_rank < coarse_rank)
         SELECT * FROM (SELECT sample_id, gallery_index, row_number() OVER (PARTITION BY sample_id ORDER BY final_rank) AS pool_pos FROM b) WHERE pool_pos <= 2""",
-    "hard_negative_pools": with_cte(*_C, "ii", "req", more=_RANKED) + f""", n AS (SELECT * FROM ranked ANTI JOIN pos USING (sample_id, gallery_index) WHERE coarse > {_INF}),
-        shares AS (SELECT DISTINCT sample_id, gallery_pos AS gallery_index, 'semantic' AS g FROM req JOIN ii USING (identity_id) JOIN gal USING (image_id)),
-        p AS (SELECT sample_id, coalesce(g, 'identity') AS pool, gallery_index, coarse_rank FROM n LEFT JOIN shares USING (sample_id, gallery_index))
-        SELECT * FROM (SELECT sample_id, pool, gallery_index, row_number() OVER (PARTITION BY sample_id, pool ORDER BY coarse_rank) AS pool_pos FROM p) WHERE pool_pos <= 5""",
 }
