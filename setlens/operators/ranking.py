@@ -56,7 +56,7 @@ def shortlist(df: DataFrame, m: int, query: str, score: str, tie: str, name: str
 def fuse(fine: Column, coarse: Column, weight: float | Column, *by: str) -> Column:
     """z(fine) + weight z(coarse) over candidates with a finite coarse score; others minus infinity. Weight 0 keeps fine as it is."""
     valid = coarse > NONE
-    fused = F.round(zscore(fine, valid, *by) + weight * zscore(coarse, valid, *by), 9)
+    fused = zscore(fine, valid, *by) + weight * zscore(coarse, valid, *by)
     fused = F.when(valid, fused).otherwise(F.lit(NONE))
     if isinstance(weight, Column):
         return F.when(weight == 0, fine).otherwise(fused)

@@ -157,7 +157,7 @@ elig AS (SELECT s.*, CASE WHEN m.sample_id IS NOT NULL THEN 'semantic' ELSE 'ide
 short AS MATERIALIZED (SELECT sample_id, pool, gallery_index, coarse FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, pool ORDER BY coarse DESC, gallery_index) AS p FROM elig) WHERE p <= {POOL}),
 {_MATCH}, u AS (SELECT s.*, coalesce(b.coverage, 0.0) AS coverage, round(coalesce(penalized, -{matching.PENALTY}::DOUBLE) + 0.09 * coalesce(b.coverage, 0.0), 9) AS f FROM short s LEFT JOIN binding b USING (sample_id, gallery_index)),
 z AS (SELECT *, {retrieval._z('f', 'true', 'sample_id')} AS zf, {retrieval._z('coarse', 'true', 'sample_id')} AS zc FROM u),
-mined AS (SELECT *, round(round(zf + {retrieval.WEIGHT} * zc, 9), 6) AS fused FROM z)"""
+mined AS (SELECT *, round(zf + {retrieval.WEIGHT} * zc, 6) AS fused FROM z)"""
 _RATES = lambda p: ", ".join(f"coalesce(max((final_rank <= {k})::INT::DOUBLE), 0) AS {p}_r{k}" for k in retrieval.KS)
 _EVAL = f"""{retrieval._HEAD}, {dataset._IDPOS}, idset AS (SELECT DISTINCT sample_id, gallery_pos AS gallery_index FROM idpos JOIN gal USING (image_id) WHERE sample_id IN (SELECT sample_id FROM sco)),
 fullset AS (SELECT * FROM idset SEMI JOIN pos USING (sample_id, gallery_index)),
@@ -173,7 +173,7 @@ ORACLE = {
     "calibration_winner": matching._recursive(with_cte(*_C, more=_GRID)) + "SELECT * FROM scores ORDER BY score DESC, grid_index LIMIT 1",
     "replay_rankings": matching._recursive(with_cte(*_C, more=_EV)) + f""", x AS (SELECT *, round(binding + 0.12 * coverage + 0.1 * context, 9) AS f FROM ev),
         zz AS (SELECT *, {retrieval._z('f', f'coarse > {_INF}', 'sample_id')} AS zf, {retrieval._z('coarse', f'coarse > {_INF}', 'sample_id')} AS zc FROM x),
-        fu AS (SELECT *, CASE WHEN coarse > {_INF} THEN round(round(zf + 0.2 * zc, 9), 6) ELSE {_INF} END AS fused FROM zz)
+        fu AS (SELECT *, CASE WHEN coarse > {_INF} THEN round(zf + 0.2 * zc, 6) ELSE {_INF} END AS fused FROM zz)
         SELECT sample_id, gallery_index, row_number() OVER (PARTITION BY sample_id ORDER BY fused DESC, coarse_rank) AS final_rank FROM fu""",
     "hard_negative_pools": matching._recursive(with_cte(*_ALL, more=_MINED)) + """SELECT sample_id, pool, gallery_index, row_number() OVER (PARTITION BY sample_id, pool ORDER BY fused DESC, coarse DESC, gallery_index) AS pool_pos
         FROM mined WHERE coverage > 0""",

@@ -63,6 +63,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
         plain_image(F.col("query_image_id")).alias("query_image_id"),
         plain_image(F.col("target_image_id")).alias("target_image_id"),
         F.array_distinct(F.array_compact(F.transform(F.coalesce("positive_image_ids", none), plain_image))).alias("positives"),
+        F.size(F.array_compact(F.transform(F.coalesce("positive_image_ids", none), plain_image))).alias("positive_refs"),
         "subjects", "final_desc", "final_change", "final_instruction", "annotator",
     )
 

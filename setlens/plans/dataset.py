@@ -249,29 +249,107 @@ def detection_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rolled.select(F.coalesce("split", F.lit("all")).alias("split"), F.coalesce("case_type", F.lit("overall")).alias("case_type"), "required", "detected")
 
 
+def review_catalog(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Stand-ins for the annotation tool's files: (sample_id, image_id, candidate) and (sample_id, has_decision).
+
+    A ranked sample has a task, whose candidates are its target and its ranked images; it is decided once any of them has
+    been scored, and the decision names the labelled positives among the candidates.
+    """
+    at = c.gallery(spark, d).select("image_id", F.col("gallery_pos").alias("gallery_index"))
+    r = table(spark, d, "rankings").where("sample_id IS NOT NULL")
+    tasks = r.groupBy("sample_id").agg((F.count("scored_at") > 0).alias("has_decision"))
+    ranked = r.select("sample_id", "gallery_index").distinct().join(at, "gallery_index").select("sample_id", "image_id")
+    seeds = tasks.join(c.samples(spark, d).select("sample_id", F.col("target_image_id").alias("image_id")), "sample_id").where("image_id IS NOT NULL")
+    return ranked.unionByName(seeds.select("sample_id", "image_id")), tasks
+
+
+def positive_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(sample_id, split, image_id, eligible, positive, in_split, registered, fits, candidate) of all pairs that any of these concerns, one row each."""
+    s = c.samples(spark, d).join(c.splits(spark, d), "sample_id").select("sample_id", "split", "query_image_id", "positives")
+    i = c.images(spark, d).select("image_id", "split")
+    req, having = identity_items(spark, d)
+    req = req.select(F.col("qid").alias("sample_id"), F.col("key").alias("identity_id")).distinct()
+    need = req.groupBy("sample_id").agg(F.count(F.lit(1)).alias("need"))
+    found = division(req.select(F.col("sample_id").alias("qid"), F.col("identity_id").alias("key")), having)
+    eligible = found.select(F.col("qid").alias("sample_id"), F.col("iid").alias("image_id")).join(i, "image_id").join(s.select("sample_id", "split", "query_image_id"), ["sample_id", "split"])
+    eligible = eligible.where(~F.col("image_id").eqNullSafe(F.col("query_image_id"))).select("sample_id", "split", "image_id", F.lit("eligible").alias("what"))
+    positive = s.select("sample_id", "split", F.explode("positives").alias("image_id"))
+    known = i.select("image_id", F.col("split").alias("image_split"))
+    place = F.when(F.col("image_split").isNull(), "unregistered").when(F.col("image_split") == F.col("split"), "inside").otherwise("outside")
+    placed = positive.join(known, "image_id", "left").select("sample_id", "split", "image_id", place.alias("what"))
+    seen = positive.join(req, "sample_id").join(having.select(F.col("iid").alias("image_id"), F.col("key").alias("identity_id")), ["image_id", "identity_id"])
+    fits = seen.groupBy("sample_id", "split", "image_id").agg(F.count(F.lit(1)).alias("n")).join(need, "sample_id").where("n = need")
+    candidates = review_catalog(spark, d)[0].join(s.select("sample_id", "split"), "sample_id").select("sample_id", "split", "image_id", F.lit("candidate").alias("what"))
+    every = eligible.unionByName(placed).unionByName(fits.select("sample_id", "split", "image_id", F.lit("fits").alias("what"))).unionByName(candidates)
+    flag = lambda *names: F.max(F.col("what").isin(*names))
+    pairs = every.groupBy("sample_id", "split", "image_id").agg(
+        flag("eligible").alias("eligible"), flag("inside", "outside", "unregistered").alias("positive"), flag("inside").alias("full"),
+        flag("inside", "outside").alias("registered"), flag("fits").alias("fits"), flag("candidate").alias("candidate"),
+    )
+    # an image fits a sample that requires nothing
+    return pairs.join(need, "sample_id", "left").withColumn("fits", F.col("fits") | F.col("need").isNull()).drop("need")
+
+
 def positive_scope_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Identity positives against labelled ones: full, confirmed, missing, foreign, and a status per sample."""
-    eligible = identity_positives(spark, d).groupBy("sample_id").agg(F.collect_set("image_id").alias("eligible"))
-    s = c.samples(spark, d).select("sample_id", "positives").join(scoped_samples(spark, d).select("sample_id", "split"), "sample_id").join(eligible, "sample_id", "left")
-    none = F.array().cast("array<string>")
-    s = s.withColumn("eligible", F.coalesce("eligible", none))
-    open_ = F.size(F.array_except("eligible", "positives"))
-    foreign = F.size(F.array_except("positives", "eligible"))
-    status = F.when(foreign > 0, "stale").when(F.size("positives") == 0, "unknown").when(open_ == 0, "complete").otherwise("partial")
+    """Labels of each sample of a split against all images that hold its identities: codes, scope of the review, counts.
+
+    issues are faults of the labels themselves, source_issues of the review's files. A review that is neither faulty nor
+    missing is complete if its catalog holds all eligible images, else partial; only then the images that it shows and
+    nobody chose count as negatives. Pairs are counted, never listed per sample.
+    """
+    pairs = positive_pairs(spark, d)
+    n = lambda condition: F.count(F.when(F.expr(condition), 1))
+    counts = pairs.groupBy("sample_id", "split").agg(
+        n("eligible").alias("eligible"), n("full").alias("full_positives"), n("positive AND NOT full").alias("out_of_split"), n("positive AND NOT registered").alias("unregistered"),
+        n("positive AND NOT fits").alias("invalid_identity"), n("eligible AND NOT candidate").alias("uncatalogued"), n("eligible AND NOT full").alias("open_all"),
+        n("eligible AND NOT full AND NOT candidate").alias("open_uncatalogued"), n("eligible AND candidate AND NOT full").alias("shown"), n("full AND NOT candidate").alias("undecided"),
+    )
+    req = c.required(spark, d).select("sample_id", "identity_id").distinct()
+    need = req.groupBy("sample_id").agg(F.count(F.lit(1)).alias("need"))
+    s = c.samples(spark, d).select("sample_id", "query_image_id", "target_image_id", "positives", "positive_refs").join(c.splits(spark, d), "sample_id")
+    on_query = s.select("sample_id", F.col("query_image_id").alias("image_id")).distinct().join(req, "sample_id").join(c.image_identity(spark, d), ["image_id", "identity_id"])
+    on_query = on_query.groupBy("sample_id").agg(F.count(F.lit(1)).alias("on_query"))
+    i = c.images(spark, d).select("image_id", "split", F.lit(True).alias("there"))
+    q = i.select(F.col("image_id").alias("query_image_id"), "split", F.col("there").alias("query_in"))
+    t = i.select(F.col("image_id").alias("target_image_id"), "split", F.col("there").alias("seed_in"))
+    s = s.join(counts, ["sample_id", "split"], "left").join(need, "sample_id", "left").join(on_query, "sample_id", "left")
+    s = s.join(q, ["query_image_id", "split"], "left").join(t, ["target_image_id", "split"], "left").join(review_catalog(spark, d)[1], "sample_id", "left")
+    names = ["eligible", "full_positives", "out_of_split", "unregistered", "invalid_identity", "uncatalogued", "open_all", "open_uncatalogued", "shown", "undecided", "need", "on_query"]
+    s = s.withColumns({x: F.coalesce(x, F.lit(0)) for x in names})
+    labelled_seed = F.coalesce(F.array_contains("positives", F.col("target_image_id")), F.lit(False))
+    code = issues(
+        empty_required_identities=F.col("need") == 0, query_outside_split=F.col("query_in").isNull(), query_missing_required_identities=F.col("on_query") < F.col("need"),
+        seed_outside_split=F.col("seed_in").isNull(), missing_seed_positive=~labelled_seed | F.col("seed_in").isNull(), empty_split_positive_set=F.col("full_positives") == 0,
+        duplicate_positive_ids=F.col("positive_refs") > F.size("positives"), self_positive=F.array_contains("positives", F.col("query_image_id")),
+        unregistered_positive_ids=F.col("unregistered") > 0, positive_missing_required_identities=F.col("invalid_identity") > 0,
+    )
+    source = issues(invalid_decision=F.col("has_decision") & ~labelled_seed, decision_differs_from_final=F.col("has_decision") & labelled_seed & (F.col("undecided") > 0))
+    s = s.withColumn("issues", code).withColumn("source_issues", source)
+    status = F.when(F.col("source_issues") != "", "stale").when(~F.coalesce("has_decision", F.lit(False)), "unknown")
+    s = s.withColumn("status", status.when(F.col("uncatalogued") == 0, "complete_catalog").otherwise("partial_catalog"))
+    reviewed = F.col("status").isin("complete_catalog", "partial_catalog")
     return s.select(
-        "sample_id", "split", F.size("eligible").cast("bigint").alias("eligible"), F.size("positives").cast("bigint").alias("labelled"),
-        open_.cast("bigint").alias("unconfirmed"), foreign.cast("bigint").alias("foreign_ids"), status.alias("status"),
+        "sample_id", "split", "issues", "source_issues", "status", "eligible", "full_positives", "out_of_split", "invalid_identity",
+        F.when(reviewed, F.col("uncatalogued")).otherwise(F.col("eligible")).alias("missing_catalog"),
+        F.when(reviewed, F.col("open_uncatalogued")).otherwise(F.col("open_all")).alias("unconfirmed"),
+        F.when(reviewed, F.col("shown")).otherwise(F.lit(0)).cast("bigint").alias("catalog_negatives"),
     )
 
 
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    """Open images of partial samples: the target first, then by gallery position."""
-    partial = positive_scope_audit(spark, d).where("status = 'partial'").select("sample_id")
-    rows = identity_positives(spark, d).join(partial, "sample_id", "left_semi").join(c.gallery(spark, d), "image_id")
-    rows = rows.join(c.samples(spark, d).select("sample_id", "target_image_id"), "sample_id")
-    later = ~F.coalesce(F.col("image_id") == F.col("target_image_id"), F.lit(False))
-    order = Window.partitionBy("sample_id").orderBy(later, "gallery_pos")
-    return rows.select("sample_id", "image_id", F.row_number().over(order).cast("bigint").alias("queue_pos"))
+    """Candidates of samples without label faults whose review is not complete or disputed: the target first, then eligible images by gallery position."""
+    classes = cut(label_classes(spark, d))
+    disputed = classes.join(audit.disputed(classes).select("class_key", "image_id"), "class_key").where(~F.col("image_id").eqNullSafe(F.col("query_image_id")))
+    disputed = disputed.select("sample_id", "split", F.lit(True).alias("disputed")).distinct()
+    open_ = positive_scope_audit(spark, d).where("issues = ''").join(disputed, ["sample_id", "split"], "left")
+    open_ = open_.where("status <> 'complete_catalog' OR disputed").select("sample_id", "split")
+    eligible = identity_positives(spark, d).join(open_, ["sample_id", "split"], "left_semi").select("sample_id", "split", "image_id")
+    seeds = open_.join(c.samples(spark, d).select("sample_id", F.col("target_image_id").alias("image_id")), "sample_id")
+    both = eligible.withColumn("later", F.lit(1)).unionByName(seeds.withColumn("later", F.lit(0)))
+    rows = both.groupBy("sample_id", "split", "image_id").agg(F.min("later").alias("later")).join(c.gallery(spark, d), "image_id")
+    rows = rows.withColumn("task", F.concat_ws("|", "split", "sample_id"))
+    placed = audit.running_total(rows, "task", ["later", "gallery_pos"], F.lit(1).cast("bigint"), "before")
+    return placed.select("sample_id", "split", "image_id", (F.col("before") + 1).alias("queue_pos"))
 
 
 def final_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -328,13 +406,27 @@ votes AS (SELECT k.class_key, k.sample_id, x.image_id, n.image_id IS NOT NULL AS
     LEFT JOIN named n ON n.sample_id = k.sample_id AND n.class_key = k.class_key AND n.image_id = x.image_id WHERE x.image_id IS DISTINCT FROM k.query_image_id),
 disputed AS (SELECT class_key, image_id, count(*) FILTER (WHERE vote) AS yes, count(*) FILTER (WHERE NOT vote) AS no FROM votes GROUP BY ALL HAVING yes > 0 AND no > 0),
 excluded AS (SELECT DISTINCT sample_id, image_id FROM votes JOIN disputed USING (class_key, image_id) WHERE NOT vote)"""
-_AUDIT = _IDPOS + """,
-el AS (SELECT sample_id, list(image_id) AS e FROM idpos GROUP BY 1),
-pl AS (SELECT sample_id, list(image_id) AS p FROM pos_at GROUP BY 1),
-sets AS (SELECT s.sample_id, s.split, coalesce(e, []) AS e, coalesce(p, []) AS p FROM scope s LEFT JOIN el USING (sample_id) LEFT JOIN pl USING (sample_id)),
-n AS (SELECT sample_id, split, len(e) AS eligible, len(p) AS labelled, len(list_filter(e, lambda x: NOT list_contains(p, x))) AS unconfirmed,
-    len(list_filter(p, lambda x: NOT list_contains(e, x))) AS foreign_ids FROM sets),
-audit AS (SELECT *, CASE WHEN foreign_ids > 0 THEN 'stale' WHEN labelled = 0 THEN 'unknown' WHEN unconfirmed = 0 THEN 'complete' ELSE 'partial' END AS status FROM n)"""
+_AUDIT = f"""task AS (SELECT sample_id, count(scored_at) > 0 AS decided FROM rankings WHERE sample_id IS NOT NULL GROUP BY 1),
+cat AS (SELECT DISTINCT r.sample_id, image_id FROM rankings r JOIN gal g ON g.gallery_pos = r.gallery_index WHERE r.sample_id IS NOT NULL
+    UNION SELECT sample_id, target_image_id FROM task JOIN smp USING (sample_id) WHERE target_image_id IS NOT NULL),
+wants AS (SELECT sample_id, list(DISTINCT identity_id) AS w FROM req GROUP BY 1), has AS (SELECT image_id, list(identity_id) AS h FROM ii GROUP BY 1),
+listed AS (SELECT sample_id, list(image_id) AS p FROM pos_at GROUP BY 1), shown AS (SELECT sample_id, list(image_id) AS k FROM cat GROUP BY 1),
+able AS (SELECT s.sample_id, s.split, list(i.image_id) AS e FROM (SELECT sample_id, split, query_image_id, w FROM smp JOIN spl USING (sample_id) JOIN wants USING (sample_id)) s
+    JOIN img i ON i.split = s.split AND i.image_id IS DISTINCT FROM s.query_image_id JOIN has USING (image_id) WHERE list_has_all(h, w) GROUP BY ALL),
+one AS (SELECT s.sample_id, p.split, s.query_image_id AS q, s.target_image_id AS t, coalesce(w, []) AS w, coalesce(e, []) AS e, coalesce(l.p, []) AS p, coalesce(k, []) AS k, decided,
+    len(list_filter(list_transform(positive_image_ids, lambda x: {c.sql_image('x')}), lambda y: y IS NOT NULL)) AS refs, coalesce(qh.h, []) AS qh
+    FROM smp s JOIN spl p USING (sample_id) LEFT JOIN wants USING (sample_id) LEFT JOIN able a ON a.sample_id = s.sample_id AND a.split = p.split LEFT JOIN listed l ON l.sample_id = s.sample_id
+    LEFT JOIN shown USING (sample_id) LEFT JOIN task USING (sample_id) LEFT JOIN has qh ON qh.image_id = s.query_image_id),
+lab AS (SELECT o.sample_id, o.split, count(i.image_id) AS registered, count(*) FILTER (WHERE i.split = o.split) AS inside, count(*) FILTER (WHERE NOT list_has_all(coalesce(h, []), w)) AS misfit,
+    list(u.image_id) FILTER (WHERE i.split = o.split) AS f FROM one o, unnest(o.p) u(image_id) LEFT JOIN img i ON i.image_id = u.image_id LEFT JOIN has ON has.image_id = u.image_id GROUP BY ALL),
+two AS (SELECT o.*, coalesce(registered, 0) AS registered, coalesce(inside, 0) AS inside, coalesce(misfit, 0) AS misfit, coalesce(f, []) AS f, qi.image_id IS NOT NULL AS query_in, ti.image_id IS NOT NULL AS seed_in, list_contains(p, t) AS seed_named
+    FROM one o LEFT JOIN lab USING (sample_id, split) LEFT JOIN img qi ON qi.image_id = q AND qi.split = o.split LEFT JOIN img ti ON ti.image_id = t AND ti.split = o.split),
+three AS (SELECT *, {_codes(empty_required_identities='len(w) = 0', query_outside_split='NOT query_in', query_missing_required_identities='NOT list_has_all(qh, w)', seed_outside_split='NOT seed_in',
+    missing_seed_positive='NOT coalesce(list_contains(f, t), false)', empty_split_positive_set='inside = 0', duplicate_positive_ids='coalesce(refs, 0) > len(p)', self_positive='coalesce(list_contains(p, q), false)',
+    unregistered_positive_ids='registered < len(p)', positive_missing_required_identities='misfit > 0')} AS issues,
+    {_codes(invalid_decision='coalesce(decided, false) AND NOT coalesce(seed_named, false)', decision_differs_from_final='coalesce(decided, false) AND coalesce(seed_named, false) AND NOT list_has_all(k, f)')} AS source_issues FROM two),
+audit AS MATERIALIZED (SELECT sample_id, split, issues, source_issues, CASE WHEN source_issues <> '' THEN 'stale' WHEN NOT coalesce(decided, false) THEN 'unknown' WHEN list_has_all(k, e) THEN 'complete_catalog' ELSE 'partial_catalog' END AS status,
+    t, e, f, CASE WHEN status IN ('complete_catalog', 'partial_catalog') THEN list_filter(e, lambda x: list_contains(k, x)) ELSE [] END AS scope, len(p) AS labelled, inside, misfit FROM three)"""
 
 ORACLE = {
     "split_gallery": with_cte("gal", "img") + """SELECT split, image_id, row_number() OVER (PARTITION BY split ORDER BY gallery_pos, image_id) AS split_pos
@@ -405,9 +497,13 @@ ORACLE = {
         j AS (SELECT split, coalesce(case_type, 'NONE') AS case_type, ii.identity_id AS seen FROM scope JOIN r USING (sample_id)
           LEFT JOIN ii ON ii.image_id = query_image_id AND ii.identity_id = r.identity_id)
         SELECT coalesce(split, 'all') AS split, coalesce(case_type, 'overall') AS case_type, count(*) AS required, count(seen) AS detected FROM j GROUP BY ROLLUP (split, case_type)""",
-    "positive_scope_audit": with_cte(*_ALL, more=_AUDIT) + "SELECT * FROM audit",
-    "review_queue": with_cte(*_ALL, more=_AUDIT) + """SELECT sample_id, image_id, row_number() OVER (PARTITION BY sample_id ORDER BY (image_id IS NOT DISTINCT FROM target_image_id) DESC, gallery_pos) AS queue_pos
-        FROM idpos JOIN gal USING (image_id) JOIN smp USING (sample_id) WHERE sample_id IN (SELECT sample_id FROM audit WHERE status = 'partial')""",
+    "positive_scope_audit": with_cte(*_ALL, more=_AUDIT) + """SELECT sample_id, split, issues, source_issues, status, len(e) AS eligible, inside AS full_positives, labelled - inside AS out_of_split, misfit AS invalid_identity,
+        len(e) - len(scope) AS missing_catalog, len(list_filter(e, lambda x: NOT list_contains(f, x) AND NOT list_contains(scope, x))) AS unconfirmed,
+        len(list_filter(scope, lambda x: NOT list_contains(f, x))) AS catalog_negatives FROM audit""",
+    "review_queue": with_cte(*_ALL, more=f"{_AUDIT}, {_VOTES}") + """, bad AS (SELECT DISTINCT k.sample_id, k.split FROM key k JOIN disputed d USING (class_key) WHERE d.image_id IS DISTINCT FROM k.query_image_id),
+        todo AS (SELECT * FROM audit WHERE issues = '' AND (status <> 'complete_catalog' OR (sample_id, split) IN (SELECT sample_id, split FROM bad))),
+        rows_ AS (SELECT sample_id, split, t, unnest(list_distinct(list_append(e, t))) AS image_id FROM todo)
+        SELECT sample_id, split, image_id, row_number() OVER (PARTITION BY sample_id, split ORDER BY image_id = t DESC, gallery_pos) AS queue_pos FROM rows_ JOIN gal USING (image_id)""",
     "final_samples": with_cte("gal", "img", "smp", "pos_at", "req", more=_SAMPLE_ISSUES) + """SELECT s.sample_id, split, case_type, coalesce(len(p), 0) AS positives
         FROM smp s JOIN img ON img.image_id = s.query_image_id LEFT JOIN pl USING (sample_id) JOIN bad USING (sample_id) WHERE issues IN ('', 'repeated_pair')""",
 }

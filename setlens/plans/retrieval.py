@@ -162,7 +162,7 @@ _RANKED = """ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s
 _FINE = f"CASE WHEN fine > {_INF} THEN fine ELSE greatest(coarse, -1.0) END"
 _HEAD = _RANKED + f""", head AS MATERIALIZED (SELECT *, {_FINE} AS f FROM ranked WHERE coarse_rank <= {M}),
 fz AS (SELECT *, {_z('f', f'coarse > {_INF}', 'sample_id')} AS zf, {_z('coarse', f'coarse > {_INF}', 'sample_id')} AS zc FROM head),
-fused AS (SELECT *, CASE WHEN coarse > {_INF} THEN round(round(zf + {WEIGHT} * zc, 9), 6) ELSE {_INF} END AS fused FROM fz),
+fused AS (SELECT *, CASE WHEN coarse > {_INF} THEN round(zf + {WEIGHT} * zc, 6) ELSE {_INF} END AS fused FROM fz),
 final AS MATERIALIZED (SELECT sample_id, gallery_index, coarse_rank, row_number() OVER (PARTITION BY sample_id ORDER BY fused DESC, coarse_rank) AS final_rank FROM fused
   UNION ALL SELECT sample_id, gallery_index, coarse_rank, coarse_rank FROM ranked WHERE coarse_rank > {M})"""
 _SIZES = """sizes AS (SELECT sample_id, count(*) AS n_pos FROM pos WHERE sample_id IN (SELECT sample_id FROM sco) GROUP BY 1)"""
