@@ -59,6 +59,23 @@ def test_orphans_equal_brute_force(spark):
     assert report.agg(F.sum("orphan_refs")).first()[0] == len(want)
 
 
+def test_a_reference_in_a_distant_year_costs_no_bit_for_each_month_between(spark):
+    import datetime as dt
+    import time
+
+    t = dt.datetime(2024, 1, 5)
+    parents = [("image", str(k), t, None) for k in range(20_000)]
+    parents += [("image", "x", dt.datetime(2024, m, 1), dt.datetime(2024, m + 2, 1)) for m in (1, 2, 6)]
+    refs = [("g", "image", "r1", "7", dt.datetime(9999, 12, 1)), ("g", "image", "r2", "8", dt.datetime(1900, 1, 1)), ("g", "image", "r3", "gone", t)]
+    refs += [("g", "image", f"x{m}", "x", dt.datetime(2024, m, 20)) for m in range(1, 11)]
+    r = spark.createDataFrame(refs, "src_table string, kind string, record_key string, ref_key string, ref_time timestamp_ntz")
+    p = spark.createDataFrame(parents, "kind string, key string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    began = time.time()
+    got = {x["record_key"] for x in references.orphan_references(r, p).collect()}
+    assert got == {"r2", "r3", "x4", "x5", "x8", "x9", "x10"}
+    assert time.time() - began < 120
+
+
 def test_bitmap_packing_round_trip():
     for on in ([], [0], [32767], range(2000), range(0, 32768, 3)):
         bits = np.zeros(references.BITS, np.uint8)
@@ -361,3 +378,80 @@ def test_append_missing_builds_each_key_once(spark):
     store = provenance.append_missing(None, spark.createDataFrame([(1,), (1,)], "k int"), "k", build)
     store = provenance.append_missing(store, spark.createDataFrame([(1,), (2,)], "k int"), "k", build)
     assert rows(store) == [(1, 10), (2, 20)] and seen == [[1], [2]]
+
+
+# ---- rankings of hot queries, conflicts, calibration
+
+
+def test_complete_ranks_and_moments_of_a_query_with_half_of_all_rows(spark):
+    import random
+
+    rng = random.Random(31)
+    data = [("hot", i, rng.choice([float("-inf"), 0.0, -0.0, round(rng.random(), 2)])) for i in range(3000)]
+    data += [(f"q{i % 60}", i, round(rng.random(), 1)) for i in range(3000)] + [("flat", i, 0.5) for i in range(5)] + [("none", i, float("-inf")) for i in range(3)]
+    df = spark.createDataFrame([(*x, 1) for x in data], "q string, i bigint, s double, before int")
+    got = {(r["q"], r["i"]): r["rank"] for r in ranking.complete_ranks(df, "q", "s", "i", "rank").collect()}
+    want = {}
+    for q in {x[0] for x in data}:
+        for k, (_, i) in enumerate(sorted((-s + 0.0, i) for g, i, s in data if g == q), 1):
+            want[(q, i)] = k
+    assert got == want
+    valid = F.col("s") > ranking.NONE
+    a = {(r["q"], r["i"]): r["z"] for r in ranking.moments_zscore(df, F.col("s"), valid, "q", "z").collect()}
+    b = {(r["q"], r["i"]): r["z"] for r in df.withColumn("z", ranking.zscore(F.col("s"), valid, "q")).collect()}
+    assert a.keys() == b.keys() and all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in a)
+    assert ranking.complete_ranks(df.where("false"), "q", "s", "i", "rank").count() == 0
+
+
+def test_disputed_counts_equal_listed_votes(spark):
+    import random
+
+    from setlens.operators import audit
+
+    rng = random.Random(37)
+    data = [(f"s{k}", f"c{rng.randrange(6)}", rng.choice([None, "a", "b", "x"]), sorted(set(rng.choices("abcdxy", k=rng.randrange(4))))) for k in range(60)]
+    df = spark.createDataFrame(data, "sample_id string, class_key string, query_image_id string, positives array<string>")
+    want = set()
+    for c in {x[1] for x in data}:
+        rows = [x for x in data if x[1] == c]
+        for image in sorted({p for x in rows for p in x[3]}):
+            votes = [image in x[3] for x in rows if x[2] != image]
+            if len(set(votes)) > 1:
+                want.add((c, image, sum(votes), len(votes) - sum(votes)))
+    assert {tuple(x) for x in audit.disputed(df).collect()} == want and want
+
+
+def test_selection_over_artifacts_and_frozen_settings(spark):
+    import pytest
+
+    a = spark.createDataFrame([(0, 0.1, 0.5), (1, 0.2, 0.7)], "grid_index int, coverage_weight double, score double")
+    b = spark.createDataFrame([(0, 0.1, 0.7), (1, 0.3, 0.6)], "grid_index int, coverage_weight double, score double")
+    best = calibration.select([("one", a), ("two", b)]).first()
+    assert (best["artifact"], best["grid_index"], best["global_index"]) == ("one", 1, 1)
+    best = calibration.select([("two", b.withColumn("score", F.col("score") + 1)), ("one", a)]).first()
+    assert (best["artifact"], best["global_index"]) == ("two", 0)
+    config = {"calibration": {"x": 1}, "retrieval": {"coverage_weight": 0.0, "topm": 500}}
+    assert calibration.frozen(config, {"coverage_weight": 0.2}) == {"retrieval": {"coverage_weight": 0.2, "topm": 500}}
+    calibration.refuse_changes({"topm": 500, "beta": 1}, {"topm": 500, "coverage_weight": 0.3}, ("topm", "beta"))
+    with pytest.raises(ValueError, match="topm"):
+        calibration.refuse_changes({"topm": 500}, {"topm": 20}, ("topm", "beta"))
+    with pytest.raises(ValueError):
+        calibration.select([])
+
+
+def test_relations_are_read_between_mentions(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    cases = [
+        ("Subject 1 sitting on the right of Subject 2.", "Subject 1 sitting on the right of Subject 2.", None),
+        ("Subject 1 is sitting on the right of subject 2.", None, "Subject 1 is sitting on the left of subject 2."),
+        ("Subject 1 to the left of Subject 2 to the left of Subject 3", None, "Subject 1 to the right of Subject 2 to the left of Subject 3"),
+        ("Subject 1 to the left of Subject 2, Subject 3 to the left of Subject 4", "two", None),
+        ("", "empty", None),
+        (None, "null", None),
+    ]
+    for text, _, want in cases:
+        assert one(texts.swapped(F.lit(text).cast("string"))) == want, text
+    assert one(texts.condition(F.lit("then retrieve target images where  Subject 02 have members of Subject 10 are"), F.lit(2))) == (
+        "the reference person has the other referenced person (Subject 10) is"
+    )
+    assert one(texts.condition(F.lit(None).cast("string"), F.lit(2))) is None

@@ -51,11 +51,34 @@ def test_partitions_do_not_matter(spark, name):
     assert seen[0] == seen[1] == seen[2]
 
 
-def test_the_entry_works_without_the_subpackage_and_names_match():
+def test_the_entry_works_without_the_subpackage_and_names_match(monkeypatch):
+    import sys
+
     import __spark_entry__ as e
 
     assert set(QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+    for name in [n for n in sys.modules if n == "setlens.llm" or n.startswith("setlens.llm.")]:
+        monkeypatch.delitem(sys.modules, name)
+
+    class Hidden:
+        def find_spec(self, name, path=None, target=None):
+            if name == "setlens.llm" or name.startswith("setlens.llm."):
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+    monkeypatch.setattr(sys, "meta_path", [Hidden(), *sys.meta_path])
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLE)
+
+
+@pytest.mark.parametrize("name", ["complete_ranking", "zscore_coarse", "retrieval_metrics_overall"])
+def test_no_task_sorts_a_whole_query(spark, name):
+    """Windows by sample alone are limited, or hold positives or a shortlist only."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    windows = [line for line in plan.split("\n") if " Window " in line]
+    if name != "retrieval_metrics_overall":
+        assert not [w for w in windows if ", [sample_id#" in w and "_part#" not in w]
 
 
 def test_filters_and_columns_reach_the_scan(spark):
