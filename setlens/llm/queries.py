@@ -227,6 +227,28 @@ pairs AS (SELECT a.id AS x, b.id AS y, b.val, b.test, b.annotator FROM words a J
     AND len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))))
 """
 
+# quotas: whole shares between least rows and what is there, then what is left round by round, then what is too much given back
+_QUOTAS = """
+WITH RECURSIVE known AS (
+  SELECT id, min(c) AS c FROM (SELECT trim(sample_id) AS id, upper(trim(case_type)) AS c FROM samples) WHERE id <> '' AND c IN ('INDIVIDUAL', 'GROUP', 'DUAL', 'RELATIONAL') GROUP BY id),
+counts AS (SELECT c, count(*) AS there FROM known GROUP BY c),
+sizes AS (SELECT draw_id, floor(coalesce(any_value(draw_fraction), 0) * (SELECT count(*) FROM known))::BIGINT AS n FROM case_targets GROUP BY draw_id),
+t AS (SELECT draw_id, upper(trim(case_type)) AS c, n, coalesce(target_share, 0) AS share, coalesce(min_rows, 0) AS least_, coalesce(there, 0) AS there,
+  coalesce(target_share, 0) * n - floor(coalesce(target_share, 0) * n) AS rest FROM case_targets JOIN sizes USING (draw_id) LEFT JOIN counts ON counts.c = upper(trim(case_type))),
+f AS (SELECT *, least(least_, there)::BIGINT AS low, least(there, greatest(least(least_, there), floor(share * n)))::BIGINT AS take FROM t),
+rounds AS (
+  SELECT draw_id, 0 AS k, list({'c': c, 'share': share, 'cap': there, 'low': low, 'take': take} ORDER BY rest DESC, c) AS x, least(any_value(n), sum(there)) - sum(take) AS left_ FROM f GROUP BY draw_id
+  UNION ALL
+  SELECT draw_id, k + 1, list_transform(x, lambda y, i: {'c': y.c, 'share': y.share, 'cap': y.cap, 'low': y.low, 'take': y.take + g[i]}), left_ - list_sum(g) FROM (
+    SELECT *, CASE WHEN list_sum(e) > 0 THEN e ELSE list_transform(x, lambda y, i: CASE WHEN y.take < y.cap AND len(list_filter(x[1:i], lambda z: z.take < z.cap)) <= left_ THEN 1::BIGINT ELSE 0::BIGINT END) END AS g FROM (
+      SELECT *, list_transform(x, lambda y: CASE WHEN y.take < y.cap AND w > 0 THEN least(y.cap - y.take, floor(left_ * y.share / w))::BIGINT ELSE 0::BIGINT END) AS e FROM (
+        SELECT *, list_sum(list_transform(list_filter(x, lambda y: y.take < y.cap), lambda y: y.share)) AS w FROM rounds WHERE left_ > 0)))),
+last AS (SELECT draw_id, unnest(arg_max(x, k)) AS y, arg_min(left_, -k) AS left_ FROM rounds GROUP BY draw_id),
+back AS (SELECT draw_id, y.c AS c, y.take AS take, y.take - y.low AS spare, left_, coalesce(sum(y.take - y.low) OVER (PARTITION BY draw_id ORDER BY y.low - y.take, y.c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM last),
+quota AS (SELECT draw_id, c, (take - greatest(0, least(spare, greatest(0, -left_) - before)))::BIGINT AS quota FROM back),
+plan AS (SELECT t.draw_id, t.c AS case_type, n AS draw_rows, there AS available, greatest(least_, floor(share * n))::BIGINT AS wanted, quota FROM t JOIN quota q ON q.draw_id = t.draw_id AND q.c IS NOT DISTINCT FROM t.c)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -264,6 +286,10 @@ ORACLE = {
         targets AS (SELECT *, upper(trim(case_type)) AS c, floor(draw_fraction * (SELECT count(*) FROM known)) AS rows_ FROM case_targets)
         SELECT draw_id, t.c AS case_type FROM targets t LEFT JOIN counts USING (c)
         WHERE coalesce(n, 0) < greatest(min_rows, floor(target_share * rows_))""",
+    "p4_report": _QUOTAS + "SELECT *, greatest(0, wanted - available) AS shortfall, available >= wanted AS met FROM plan",
+    "p4_sample": _QUOTAS
+    + """SELECT draw_id, case_type, id AS sample_id FROM (SELECT draw_id, case_type, id, quota, row_number() OVER (PARTITION BY draw_id, case_type
+           ORDER BY ('0x' || substr(sha256('draw:' || draw_id || ':' || id), 1, 15))::BIGINT, id) AS r FROM plan JOIN known ON known.c = plan.case_type) WHERE r <= quota""",
     "p5_found": """
         WITH good AS (
           SELECT person_id AS id, min(list_transform(identity_vec, lambda x: x::DOUBLE)) AS v FROM persons
