@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setlens.functions.ids import plain_case, plain_identity, plain_image, plain_name, stripped
-from setlens.llm import encode, mixing, neighbours, overlap, quota_sample, sentences, splits, topn
+from setlens.llm import encode, mixing, neighbours, overlap, quota_sample, sentences, splits, tokens_sql, topn
 from setlens.shared import cut, table
 
 CASES = ["INDIVIDUAL", "GROUP", "DUAL", "RELATIONAL"]
@@ -195,7 +195,8 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     docs, plan = mix_plan(spark, d)
-    return mixing.mix_report(mixing.mix_sources(docs, plan), plan)
+    report = mixing.mix_report(mixing.mix_sources(docs, plan), plan)
+    return report.withColumns({"target_share": F.round("target_share", 6), "wanted": F.round("wanted", 3), "actual_share": F.round("actual_share", 6)})
 
 
 # ---- 9: sentence boundaries
@@ -305,4 +306,11 @@ ORACLE = {
     "p6_report": _OVERLAP
     + """SELECT split, annotator, count(DISTINCT y) AS samples, count(*) AS pairs FROM (
            SELECT 'val' AS split, annotator, y FROM pairs WHERE val UNION ALL SELECT 'test', annotator, y FROM pairs WHERE test) GROUP BY split, annotator""",
+    "p7_ids": tokens_sql.tokens_cte() + "SELECT doc_id, ids FROM enc",
+    "p8_mix": tokens_sql.tokens_cte() + tokens_sql.MIX + "SELECT mix_id, source, doc_id, tokens, copies FROM mixed",
+    "p8_report": tokens_sql.tokens_cte()
+    + tokens_sql.MIX
+    + """SELECT mix_id, source, round(CASE WHEN weights > 0 THEN weight / weights ELSE 0 END, 6) AS target_share, round(CASE WHEN weights > 0 THEN total * weight / weights ELSE 0 END, 3) AS wanted, available,
+        coalesce(got, 0)::BIGINT AS tokens, round(coalesce(got / sum(got) OVER (PARTITION BY mix_id), 0), 6) AS actual_share, coalesce(documents, 0) AS documents, coalesce(most_copies, 0) AS most_copies
+        FROM plan LEFT JOIN (SELECT mix_id, source, sum(tokens * copies) AS got, count(*) AS documents, max(copies) AS most_copies FROM mixed GROUP BY ALL) USING (mix_id, source)""",
 }

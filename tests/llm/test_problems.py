@@ -186,6 +186,29 @@ def test_neighbours_are_exact_on_clusters_copies_and_ties(spark):
     assert few == exact_neighbours({i: vectors[i] for i in range(3)}, 5)
 
 
+def test_neighbours_across_units_slices_and_divided_lists(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "UNITS", 9)
+    monkeypatch.setattr(neighbours, "SLICE", 40)
+    monkeypatch.setattr(neighbours, "PILOT", 8)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 64))
+    near = {i: (centres[0] + 0.05 * rng.normal(size=64)).astype(np.float32) for i in range(300)}  # a third and more in one list
+    vectors = near | {i: (centres[i % 6] + 0.3 * rng.normal(size=64)).astype(np.float32) for i in range(300, 700)}
+    df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in vectors.items()], "id bigint, vec array<float>")
+    got = {r["id"]: [n["id"] for n in r["neighbours"]] for r in neighbours.nearest(df, 5).collect()}
+    want = exact_neighbours(vectors, 5)
+    assert got.keys() == want.keys()
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.99 * 5 * len(want)
+
+
+def test_units_hold_all_lists_and_keep_to_their_size():
+    rng = np.random.default_rng(6)
+    sizes = {i: int(rng.integers(1, 50)) for i in range(90)} | {90: 5000}
+    units = neighbours.arrange(rng.normal(size=(91, 64)), sizes, 200)
+    assert sorted(x for u in units for x in u) == sorted(sizes)
+    assert all(sum(sizes[x] for x in u) <= 200 or len(u) == 1 for u in units) and len(units) > 9
+
+
 def test_scan_gives_up_only_distant_candidates():
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 64))
@@ -207,7 +230,12 @@ def words(text):
     return frozenset(re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", text).lower()))
 
 
-def test_overlap_equals_brute_force(spark):
+@pytest.mark.parametrize("least", [None, 0])
+def test_overlap_equals_brute_force(spark, monkeypatch, least):
+    if least is not None:  # every bucket of two classes or more counts as full and is divided
+        monkeypatch.setattr(overlap, "LEAST", least)
+        monkeypatch.setattr(overlap, "SEEN", 1)
+        monkeypatch.setattr(overlap, "FULL", 0.005)
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(300)]
     base = [" ".join(rng.sample(vocabulary, 30)) for _ in range(60)]
