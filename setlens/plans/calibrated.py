@@ -127,7 +127,33 @@ def evaluation_per_query(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (calibration_grid, calibration_winner, replay_rankings, hard_negative_pools, evaluation_per_query)}
+def five_rankings(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval from persons: (sample_id, gallery_index, coarse_rank, fafa_rank, fine_rank, final_rank) of every candidate.
+
+    The coarse rank is that of the fused identity and state scores. Of its first M candidates the persons are matched: they
+    are ranked by the binding alone, by the fine score (binding, coverage and context) and by the fine score fused with the
+    coarse one; all others keep their coarse rank in each ranking.
+    """
+    from setlens.plans import more
+
+    coarse = more.coarse_fusion(spark, d).withColumnRenamed("score", "coarse")
+    r = ranking.complete_ranks(coarse, "sample_id", "coarse", "gallery_index", "coarse_rank")
+    head = cut(r.where(F.col("coarse_rank") <= retrieval.M))
+    bound = matching.binding(spark, d, head.select("sample_id", "gallery_index")).select("sample_id", "gallery_index", "penalized", "coverage")
+    context = c.scored(spark, d).select("sample_id", "gallery_index", F.round(F.coalesce(F.when(F.col("fine") > ranking.NONE, F.col("fine")), F.lit(0.0)), 6).alias("context"))
+    head = head.join(bound, ["sample_id", "gallery_index"], "left").join(context, ["sample_id", "gallery_index"])
+    head = head.withColumn("binding", F.coalesce("penalized", F.lit(-matching.PENALTY))).withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    head = head.withColumn("fine", calibration.linear_score(F.col("binding"), F.col("coverage"), F.col("context"), 0.09, 0.0125))
+    head = head.withColumn("fused", F.round(ranking.fuse(F.col("fine"), F.col("coarse"), retrieval.WEIGHT, "sample_id"), 6))
+    ranks = {"fafa_rank": "binding", "fine_rank": "fine", "final_rank": "fused"}
+    head = head.select("sample_id", "gallery_index", "coarse_rank", *[ranking.rerank_head("sample_id", by, retrieval.M).alias(name) for name, by in ranks.items()])
+    tail = r.where(F.col("coarse_rank") > retrieval.M).select("sample_id", "gallery_index", "coarse_rank", *[F.col("coarse_rank").alias(name) for name in ranks])
+    return head.unionByName(tail)
+
+
+QUERIES = {
+    f.__name__: f for f in (calibration_grid, calibration_winner, replay_rankings, hard_negative_pools, evaluation_per_query, five_rankings)
+}
 
 _INF = "'-infinity'::DOUBLE"
 _POINTS = [(a, b, w) for a in COVERAGE for b in CONTEXT for w in FUSION]
@@ -181,4 +207,16 @@ ORACLE = {
           (count(*) FILTER (WHERE coarse_rank <= {retrieval.K}) > 0)::INT::DOUBLE AS candidate_hit_{retrieval.K} FROM full_n LEFT JOIN (SELECT sample_id, coarse_rank FROM final JOIN fullset USING (sample_id, gallery_index)) USING (sample_id) GROUP BY sample_id)
         SELECT s.sample_id, s.case_type, i.* EXCLUDE (sample_id), f.* EXCLUDE (sample_id), c.* EXCLUDE (sample_id) FROM full_m f JOIN id_m i USING (sample_id) JOIN cand c USING (sample_id) JOIN smp s USING (sample_id)
         WHERE case_type IN ('INDIVIDUAL', 'GROUP', 'DUAL', 'RELATIONAL')""",
+    "five_rankings": matching._recursive(with_cte("gal", "smp", "req", "sco", more=f"{matching._PERS}, {matching._QP}, {matching._MAXSIM}"))
+    + f""", j AS (SELECT m.sample_id, m.gallery_index, score AS identity, coarse AS state, fine FROM maxsim m JOIN sco USING (sample_id, gallery_index)),
+        zj AS (SELECT *, {retrieval._z('identity', f'identity > {_INF} AND state > {_INF}', 'sample_id')} AS zi, {retrieval._z('state', f'identity > {_INF} AND state > {_INF}', 'sample_id')} AS zs FROM j),
+        cr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY coarse DESC, gallery_index) AS coarse_rank FROM (SELECT *, coalesce(round(zi + 0.5 * zs, 5), {_INF}) AS coarse FROM zj)),
+        short AS MATERIALIZED (SELECT sample_id, gallery_index FROM cr WHERE coarse_rank <= {retrieval.M}), {matching._MEM}, {matching._EDGES}, {matching._BINDING},
+        fh AS (SELECT r.*, coalesce(penalized, -{matching.PENALTY}::DOUBLE) AS binding, round(coalesce(penalized, -{matching.PENALTY}::DOUBLE) + 0.09 * coalesce(b.coverage, 0.0)
+          + 0.0125 * round(coalesce(CASE WHEN fine > {_INF} THEN fine END, 0.0), 6), 9) AS f FROM cr r LEFT JOIN binding b USING (sample_id, gallery_index) WHERE coarse_rank <= {retrieval.M}),
+        zh AS (SELECT *, {retrieval._z('f', f'coarse > {_INF}', 'sample_id')} AS zf, {retrieval._z('coarse', f'coarse > {_INF}', 'sample_id')} AS zc FROM fh),
+        fu AS (SELECT *, CASE WHEN coarse > {_INF} THEN round(zf + {retrieval.WEIGHT} * zc, 6) ELSE {_INF} END AS fused FROM zh)
+        SELECT sample_id, gallery_index, coarse_rank, row_number() OVER (PARTITION BY sample_id ORDER BY binding DESC, coarse_rank) AS fafa_rank, row_number() OVER (PARTITION BY sample_id ORDER BY f DESC, coarse_rank) AS fine_rank,
+          row_number() OVER (PARTITION BY sample_id ORDER BY fused DESC, coarse_rank) AS final_rank FROM fu
+        UNION ALL SELECT sample_id, gallery_index, coarse_rank, coarse_rank, coarse_rank, coarse_rank FROM cr WHERE coarse_rank > {retrieval.M}""",
 }

@@ -186,9 +186,36 @@ def run_check(spark: SparkSession, d: str) -> DataFrame:
     return one.select("n", (F.abs(F.round("a", 6) - F.col("overall")) <= 1e-9).alias("agrees"), ((F.col("low") >= 0) & (F.col("high") <= 1)).alias("in_range"))
 
 
+def validation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """All checks of samples, boxes and splits in one aggregate: how often each code was found."""
+    parts = [("samples", dataset.sample_issues), ("head_boxes", dataset.box_issues), ("sample_splits", dataset.split_partition_issues)]
+    found = None
+    for name, query in parts:
+        rows = query(spark, d).select(F.lit(name).alias("table_name"), F.explode(F.split("issues", ",")).alias("issue"))
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("table_name", "issue").agg(F.count(F.lit(1)).alias("violations"))
+
+
+def store_compatibility(spark: SparkSession, d: str) -> DataFrame:
+    """Of each two stores that share the gallery's images: how many images both hold, and how many only one of them."""
+    image = lambda name: table(spark, d, name).select(c.plain_image(F.col("image_id")).alias("image_id")).where("image_id IS NOT NULL")
+    stores = {"gallery": image("gallery"), "head_boxes": image("head_boxes"), "persons": image("persons")}
+    rows = None
+    for name, df in stores.items():
+        df = df.select("image_id", F.lit(name).alias("store"))
+        rows = df if rows is None else rows.unionByName(df)
+    per = rows.groupBy("image_id").agg(*[F.max(F.col("store") == name).alias(name) for name in stores])
+    pairs = [(a, b) for k, a in enumerate(stores) for b in list(stores)[k + 1 :]]
+    n = lambda x: F.count(F.when(x, 1))
+    counts = per.agg(*[n(x).alias(f"{a}_{b}_{i}") for a, b in pairs for i, x in enumerate((F.col(a) & F.col(b), F.col(a) & ~F.col(b), F.col(b) & ~F.col(a)))])
+    stack = ", ".join(f"'{a}', '{b}', {a}_{b}_0, {a}_{b}_1, {a}_{b}_2" for a, b in pairs)
+    return counts.select(F.expr(f"stack({len(pairs)}, {stack}) AS (left_store, right_store, in_both, only_left, only_right)"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        validation_summary, store_compatibility,
         subject_normalize, stale_context, join_gaps, candidate_rerank, first_boxes, packed_offsets, identity_pools, first_queries, set_relations,
         mean_pooling, coarse_fusion, pair_boxes, review_tasks, training_batches, truncation_counts, learning_rates, loss_total, run_check,
     )
@@ -244,4 +271,14 @@ ORACLE = {
     "loss_total": "SELECT round((SELECT value FROM (" + objectives.ORACLE["pairwise_softplus"] + ")) + 0.5 * (SELECT value FROM (" + objectives.ORACLE["rejection_hinge"] + ")) + 0.25 * (SELECT value FROM ("
     + objectives.ORACLE["supcon_loss"] + ")) + 0.25 * (SELECT value FROM (" + objectives.ORACLE["grounding_bce"] + ")), 5) AS total",
     "run_check": with_cte(*_C, more=retrieval._PQ) + "SELECT count(*) AS n, true AS agrees, min(ap) >= 0 AND max(ap) <= 1 AS in_range FROM pq",
+    "validation_summary": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, issue, count(*) AS violations FROM (SELECT unnest(string_split(issues, ',')) AS issue FROM ({dataset.ORACLE[query]})) GROUP BY issue"
+        for name, query in (("samples", "sample_issues"), ("head_boxes", "box_issues"), ("sample_splits", "split_partition_issues"))
+    ),
+    "store_compatibility": f"""WITH s AS (SELECT DISTINCT store, {c.sql_image('image_id')} AS image_id FROM (SELECT 'gallery' AS store, image_id FROM gallery UNION ALL SELECT 'head_boxes', image_id FROM head_boxes
+          UNION ALL SELECT 'persons', image_id FROM persons) WHERE {c.sql_image('image_id')} IS NOT NULL),
+        p AS (SELECT * FROM (VALUES ('gallery', 'head_boxes'), ('gallery', 'persons'), ('head_boxes', 'persons')) t(left_store, right_store))
+        SELECT left_store, right_store, (SELECT count(*) FROM s a JOIN s b USING (image_id) WHERE a.store = left_store AND b.store = right_store) AS in_both,
+          (SELECT count(*) FROM s a WHERE a.store = left_store AND image_id NOT IN (SELECT image_id FROM s b WHERE b.store = right_store)) AS only_left,
+          (SELECT count(*) FROM s b WHERE b.store = right_store AND image_id NOT IN (SELECT image_id FROM s a WHERE a.store = left_store)) AS only_right FROM p""",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from setlens.sources.files import write_text
 
 # Characters that LaTeX reads as commands.
@@ -9,7 +12,7 @@ LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\
 
 
 def escape(text: str) -> str:
-    return "".join(LATEX.get(ch, ch) for ch in text)
+    return text.translate(str.maketrans(LATEX))
 
 
 def percent(value: float | None, digits: int, absent: str) -> str:
@@ -20,7 +23,9 @@ def render(rows: list[dict], name: str, columns: list[str], kind: str, digits: i
     """rows as dicts of fractions, one column with names; kind: csv, markdown or latex."""
     if kind == "csv":
         body = [[str(r[name]), *("" if r.get(c) is None else repr(float(r[c])) for c in columns)] for r in rows]
-        return "\n".join(",".join(x) for x in [[name, *columns], *body]) + "\n"
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([[name, *columns], *body])
+        return out.getvalue()
     if kind == "markdown":
         body = [[str(r[name]), *(percent(r.get(c), digits, "—") for c in columns)] for r in rows]
         head = [[name, *columns], ["---", *["---:"] * len(columns)]]

@@ -103,3 +103,9 @@ def test_upsert_stream_applies_each_batch_once(spark, tmp_path):
     batch = store.state()["batch"]
     store.apply(spark.createDataFrame([(1, "x", 99)], "k int, v string, pos bigint"), batch)
     assert rows(store.read(spark).select("k", "v")) == [(1, "c"), (2, "d"), (3, "e")]
+
+
+def test_csv_cells_are_quoted_where_they_need_it():
+    from setlens.sources.reports import render
+
+    assert render([{"m": 'a, "b"', "x": 0.5, "y": None}], "m", ["x", "y"], "csv") == 'm,x,y\n"a, ""b""",0.5,\n'
