@@ -35,6 +35,7 @@ WINDOW = 4  # pieces or tokens on each side of a join in the first try
 LOOKAHEAD = 8  # code points, more than the pattern looks at behind the end of a piece
 KNOWN = 200_000  # pieces whose ids a task keeps at most
 BATCH = 256  # parts handed on at once
+HELD = 1_000_000  # code points of joined texts handed on at once
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -208,15 +209,19 @@ def tree_encode(texts: DataFrame, vocabulary: tuple[str, str], limit: int = LIMI
 
     def join_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by row and seq, and both of a pair to the same task."""
-        e, held = Encoder.of(path, pattern, limit), None
+        e, held, out, size = Encoder.of(path, pattern, limit), None, [], 0
         for pdf in batches:
             for row, id_, seq, text, *packed in pdf.itertuples(index=False):
                 part = Part(text, *(np.frombuffer(x, np.int32) for x in packed))
                 if held is None:
                     held = part
-                else:
-                    yield _frame([(row, id_, seq // 2, e.join(held, part))])
-                    held = None
+                    continue
+                out.append((row, id_, seq // 2, e.join(held, part)))
+                held, size = None, size + len(out[-1][3].text)
+                if size > HELD:
+                    yield _frame(out)
+                    out, size = [], 0
+        yield _frame(out)
 
     nodes, before = None, 0
     # a text of 2^k parts enters k levels below the root, so that all take part in their own levels only; there are 31 at most
