@@ -62,22 +62,30 @@ def identity_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return req, c.image_identity(spark, d).select(F.col("image_id").alias("iid"), F.col("identity_id").alias("key"))
 
 
-def identity_positives(spark: SparkSession, d: str) -> DataFrame:
+def scoped_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """identity_items() of samples in their split and of images in theirs, with the split in the key, so that only images of the own split meet."""
     req, having = identity_items(spark, d)
+    key = F.concat_ws("|", "split", "key").alias("key")
+    scope = scoped_samples(spark, d).select(F.col("sample_id").alias("qid"), "split")
+    there = c.images(spark, d).select(F.col("image_id").alias("iid"), "split")
+    return req.join(scope, "qid").select("qid", "subject_id", key), having.join(there, "iid").select("iid", key)
+
+
+def identity_positives(spark: SparkSession, d: str) -> DataFrame:
+    req, having = scoped_items(spark, d)
     found = division(req.select("qid", "key").distinct(), having)
-    scope = scoped_samples(spark, d).select(F.col("sample_id").alias("qid"), "split", "query_image_id")
-    found = found.join(scope, "qid").join(c.images(spark, d).select(F.col("image_id").alias("iid"), "split"), ["iid", "split"], "left_semi")
+    found = found.join(scoped_samples(spark, d).select(F.col("sample_id").alias("qid"), "split", "query_image_id"), "qid")
     return found.where("iid <> query_image_id").select(F.col("qid").alias("sample_id"), "split", F.col("iid").alias("image_id"))
 
 
 def partial_identity_pools(spark: SparkSession, d: str) -> DataFrame:
-    req, having = identity_items(spark, d)
+    req, having = scoped_items(spark, d)
     found = partial_overlap(req.select("qid", F.col("subject_id").alias("subject"), "key"), having)
-    scope = scoped_samples(spark, d).select(F.col("sample_id").alias("qid"), "split", "query_image_id")
-    found = found.join(scope, "qid").join(c.images(spark, d).select(F.col("image_id").alias("iid"), "split"), ["iid", "split"], "left_semi")
+    found = found.join(scoped_samples(spark, d).select(F.col("sample_id").alias("qid"), "query_image_id"), "qid")
+    plain = F.transform("missing", lambda x: F.substring_index(x, "|", -1))
     return found.where("iid <> query_image_id").select(
         F.col("qid").alias("sample_id"), F.col("iid").alias("image_id"), "overlap",
-        F.array_join("missing", ",").alias("missing_ids"),
+        F.array_join(plain, ",").alias("missing_ids"),
         F.array_join(F.transform("missing_subjects", lambda s: s.cast("string")), ",").alias("missing_subjects"),
     )
 
