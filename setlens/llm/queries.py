@@ -306,7 +306,6 @@ ORACLE = {
     "p6_report": _OVERLAP
     + """SELECT split, annotator, count(DISTINCT y) AS samples, count(*) AS pairs FROM (
            SELECT 'val' AS split, annotator, y FROM pairs WHERE val UNION ALL SELECT 'test', annotator, y FROM pairs WHERE test) GROUP BY split, annotator""",
-    "p7_ids": tokens_sql.tokens_cte() + "SELECT doc_id, ids FROM enc",
     "p8_mix": tokens_sql.tokens_cte() + tokens_sql.MIX + "SELECT mix_id, source, doc_id, tokens, copies FROM mixed",
     "p8_report": tokens_sql.tokens_cte()
     + tokens_sql.MIX
