@@ -128,7 +128,7 @@ def evaluation_per_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def five_rankings(spark: SparkSession, d: str) -> DataFrame:
-    """Retrieval from persons: (sample_id, gallery_index, coarse_rank, fafa_rank, fine_rank, final_rank) of every candidate.
+    """Retrieval from persons: (sample_id, gallery_index, coarse_rank, binding_rank, fine_rank, final_rank) of every candidate.
 
     The coarse rank is that of the fused identity and state scores. Of its first M candidates the persons are matched: they
     are ranked by the binding alone, by the fine score (binding, coverage and context) and by the fine score fused with the
@@ -145,7 +145,7 @@ def five_rankings(spark: SparkSession, d: str) -> DataFrame:
     head = head.withColumn("binding", F.coalesce("penalized", F.lit(-matching.PENALTY))).withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
     head = head.withColumn("fine", calibration.linear_score(F.col("binding"), F.col("coverage"), F.col("context"), 0.09, 0.0125))
     head = head.withColumn("fused", F.round(ranking.fuse(F.col("fine"), F.col("coarse"), retrieval.WEIGHT, "sample_id"), 6))
-    ranks = {"fafa_rank": "binding", "fine_rank": "fine", "final_rank": "fused"}
+    ranks = {"binding_rank": "binding", "fine_rank": "fine", "final_rank": "fused"}
     head = head.select("sample_id", "gallery_index", "coarse_rank", *[ranking.rerank_head("sample_id", by, retrieval.M).alias(name) for name, by in ranks.items()])
     tail = r.where(F.col("coarse_rank") > retrieval.M).select("sample_id", "gallery_index", "coarse_rank", *[F.col("coarse_rank").alias(name) for name in ranks])
     return head.unionByName(tail)
@@ -216,7 +216,7 @@ ORACLE = {
           + 0.0125 * round(coalesce(CASE WHEN fine > {_INF} THEN fine END, 0.0), 6), 9) AS f FROM cr r LEFT JOIN binding b USING (sample_id, gallery_index) WHERE coarse_rank <= {retrieval.M}),
         zh AS (SELECT *, {retrieval._z('f', f'coarse > {_INF}', 'sample_id')} AS zf, {retrieval._z('coarse', f'coarse > {_INF}', 'sample_id')} AS zc FROM fh),
         fu AS (SELECT *, CASE WHEN coarse > {_INF} THEN round(zf + {retrieval.WEIGHT} * zc, 6) ELSE {_INF} END AS fused FROM zh)
-        SELECT sample_id, gallery_index, coarse_rank, row_number() OVER (PARTITION BY sample_id ORDER BY binding DESC, coarse_rank) AS fafa_rank, row_number() OVER (PARTITION BY sample_id ORDER BY f DESC, coarse_rank) AS fine_rank,
+        SELECT sample_id, gallery_index, coarse_rank, row_number() OVER (PARTITION BY sample_id ORDER BY binding DESC, coarse_rank) AS binding_rank, row_number() OVER (PARTITION BY sample_id ORDER BY f DESC, coarse_rank) AS fine_rank,
           row_number() OVER (PARTITION BY sample_id ORDER BY fused DESC, coarse_rank) AS final_rank FROM fu
         UNION ALL SELECT sample_id, gallery_index, coarse_rank, coarse_rank, coarse_rank, coarse_rank FROM cr WHERE coarse_rank > {retrieval.M}""",
 }
