@@ -26,6 +26,19 @@ def division(required: DataFrame, having: DataFrame) -> DataFrame:
     return single.unionByName(several)
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, rows: int = 4000) -> DataFrame:
+    """left and right joined on keys. Where a key has many rows on both sides its pairs are divided into blocks of rows x rows,
+    each of which may fall to another task; the rows of a side are repeated for the blocks of the other.
+    """
+    n, m = (df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name)) for df, name in ((left, "_n"), (right, "_m")))
+    blocks = n.join(m, keys)
+    of = lambda by, count: F.pmod(F.xxhash64(by), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    a = left.join(blocks, keys).withColumn("_a", of(left_id, "_n")).withColumn("_b", every("_m")).drop("_n", "_m")
+    b = right.join(blocks, keys).withColumn("_b", of(right_id, "_m")).withColumn("_a", every("_n")).drop("_n", "_m")
+    return a.join(b, [*keys, "_a", "_b"]).drop("_a", "_b")
+
+
 def partial_overlap(required: DataFrame, having: DataFrame) -> DataFrame:
     """(qid, iid, overlap, missing, missing_subjects) of items that have some but not all keys of a query with two or more.
 

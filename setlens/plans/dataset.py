@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setlens.operators import audit
-from setlens.operators.relational import division, duplicate_keys, issues, key_differences, keyed_upsert, partial_overlap
+from setlens.operators.relational import division, duplicate_keys, issues, key_differences, keyed_upsert, meet, partial_overlap
 from setlens.plans import catalog as c
 from setlens.plans.catalog import with_cte
 from setlens.shared import cut, table
@@ -71,6 +71,60 @@ def scoped_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return req.join(scope, "qid").select("qid", "subject_id", key), having.join(there, "iid").select("iid", key)
 
 
+def wanted(spark: SparkSession, d: str) -> DataFrame:
+    """(sample_id, wants): the identities that a sample requires, sorted, where it requires any."""
+    return c.required(spark, d).groupBy("sample_id").agg(F.array_sort(F.collect_set("identity_id")).alias("wants"))
+
+
+def image_sets(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, has): the identities that are seen in an image, where any is."""
+    return c.image_identity(spark, d).groupBy("image_id").agg(F.collect_set("identity_id").alias("has"))
+
+
+def indexed_sets(spark: SparkSession, d: str) -> DataFrame:
+    """image_sets() by gallery_index. A listed pair that meets them learns what its image holds without the list of all such pairs."""
+    return image_sets(spark, d).join(c.gallery(spark, d), "image_id").select(F.col("gallery_pos").alias("gallery_index"), "has")
+
+
+def holds_all() -> Column:
+    """Whether has covers wants; false where either is null."""
+    return F.coalesce(F.size(F.array_except("wants", "has")) == 0, F.lit(False)) & F.col("wants").isNotNull() & F.col("has").isNotNull()
+
+
+def placed_sets(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, split, gallery_pos, has) of the images of a split."""
+    return c.images(spark, d).join(image_sets(spark, d), "image_id").select("image_id", "split", "gallery_pos", "has")
+
+
+def eligible_of_several(scope: DataFrame, items: DataFrame) -> DataFrame:
+    """scope with image_id and gallery_pos of each image of the split, but the query image, that holds all of two or more wanted identities.
+
+    scope: sample_id, split, query_image_id, wants. Only images with the rarest of them meet the sample.
+    """
+    keyed = items.withColumn("key", F.explode("has"))
+    frequency = keyed.groupBy("split", "key").agg(F.count(F.lit(1)).alias("n"))
+    s = scope.where(F.size("wants") > 1)
+    rarest = s.select("sample_id", "split", F.explode("wants").alias("key")).join(frequency, ["split", "key"], "left")
+    rarest = rarest.groupBy("sample_id", "split").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rarest"))
+    s = s.join(rarest.where("rarest.n > 0").select("sample_id", "split", F.col("rarest.key").alias("key")), ["sample_id", "split"])
+    found = meet(s, keyed, ["split", "key"], "sample_id", "image_id")
+    return found.where(holds_all() & ~F.col("image_id").eqNullSafe(F.col("query_image_id"))).drop("key", "has")
+
+
+def eligible_counts(scope: DataFrame, items: DataFrame) -> DataFrame:
+    """(sample_id, split, eligible): how many images of the split, but the query image, hold all wanted identities, where any does.
+
+    Images with one wanted identity are counted once for all samples, so a popular one lists no pairs.
+    """
+    keyed = items.select("split", F.explode("has").alias("key"))
+    frequency = keyed.groupBy("split", "key").agg(F.count(F.lit(1)).alias("eligible"))
+    one = scope.where(F.size("wants") == 1).withColumn("key", F.col("wants")[0]).join(frequency, ["split", "key"])
+    own = items.select(F.col("image_id").alias("query_image_id"), "split", "has")
+    one = one.join(own, ["query_image_id", "split"], "left").select("sample_id", "split", (F.col("eligible") - holds_all().cast("bigint")).alias("eligible"))
+    several = eligible_of_several(scope, items).groupBy("sample_id", "split").agg(F.count(F.lit(1)).alias("eligible"))
+    return one.where("eligible > 0").unionByName(several)
+
+
 def identity_positives(spark: SparkSession, d: str) -> DataFrame:
     req, having = scoped_items(spark, d)
     found = division(req.select("qid", "key").distinct(), having)

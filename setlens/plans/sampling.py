@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setlens.functions import vectors as v
 from setlens.operators import sampling as s
 from setlens.plans import catalog as c
-from setlens.plans import matching, retrieval
+from setlens.plans import dataset, matching, retrieval
 from setlens.plans.catalog import with_cte
-from setlens.shared import unit_hash
+from setlens.shared import cut, unit_hash
 
 SIZE = 16  # candidates of a row
 
@@ -85,14 +84,14 @@ def identity_crops(spark: SparkSession, d: str) -> DataFrame:
 
 def hard_crops(spark: SparkSession, d: str) -> DataFrame:
     """Of the persons in a query's shortlist, the three most like any person of its query image, identities of the query left out."""
-    p = matching.persons(spark, d)
-    pairs = matching.short(spark, d).join(matching.query_persons(spark, d).select("sample_id", "vec"), "sample_id")
-    pairs = pairs.join(p.select("gallery_index", "person_id", F.col("vec").alias("t")), "gallery_index")
-    same = c.required(spark, d).select("sample_id", "identity_id").distinct().join(
-        c.image_identity(spark, d).join(c.gallery(spark, d), "image_id").select(F.col("gallery_pos").alias("gallery_index"), "identity_id"), "identity_id"
-    )
-    pairs = pairs.join(same.select("sample_id", "gallery_index").distinct(), ["sample_id", "gallery_index"], "left_anti")
-    hardness = pairs.groupBy("sample_id", "person_id").agg(F.max(F.round(v.cosine(F.col("vec"), F.col("t")), 9)).alias("hardness"))
+    p = cut(matching.persons(spark, d))
+    q = cut(matching.query_persons(spark, d).select("sample_id", "vec", "norm"))
+    there = p.select("gallery_index").distinct().join(dataset.indexed_sets(spark, d), "gallery_index", "left")
+    # each pair is tested by what its image holds: all images with a popular identity are never listed
+    pairs = matching.short(spark, d).join(q.select("sample_id").distinct(), "sample_id", "left_semi").join(dataset.wanted(spark, d), "sample_id").join(there, "gallery_index")
+    pairs = pairs.where(~F.coalesce(F.arrays_overlap("wants", "has"), F.lit(False))).select("sample_id", "gallery_index")
+    pairs = pairs.join(p.select("gallery_index", "person_id", F.col("vec").alias("t_vec"), F.col("norm").alias("t_norm")), "gallery_index").join(q, "sample_id")
+    hardness = pairs.groupBy("sample_id", "person_id").agg(F.max(matching.similarity()).alias("hardness"))
     order = Window.partitionBy("sample_id").orderBy(F.desc("hardness"), "person_id")
     return hardness.withColumn("crop_pos", F.row_number().over(order).cast("bigint")).where("crop_pos <= 3").select("sample_id", "person_id", F.round("hardness", 6).alias("hardness"), "crop_pos")
 

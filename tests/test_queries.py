@@ -87,3 +87,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     scan = next(line for line in plan.split("\n") if "FileScan" in line)
     assert "IsNotNull(sample_id)" in scan and "scored_at" not in scan
     assert "WindowGroupLimit" in QUERIES["topm_shortlist"](spark, D)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hard_crops_lists_no_pairs_by_identity(spark):
+    joins = [line for line in QUERIES["hard_crops"](spark, D)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert joins and not [line for line in joins if "identity_id" in line]
