@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setlens.operators import calibration, metrics, ranking
-from setlens.operators.relational import division
 from setlens.plans import catalog as c
 from setlens.plans import dataset, matching, retrieval
 from setlens.plans.catalog import with_cte
@@ -62,13 +61,6 @@ def forbidden(spark: SparkSession, d: str) -> DataFrame:
     return c.positives(spark, d).unionByName(disputed).distinct()
 
 
-def identity_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """(sample_id, gallery_index) of images in which every identity that the sample requires is seen."""
-    req, having = dataset.identity_items(spark, d)
-    at = c.gallery(spark, d).select(F.col("image_id").alias("iid"), F.col("gallery_pos").alias("gallery_index"))
-    return division(req.select("qid", "key").distinct(), having).join(at, "iid").select(F.col("qid").alias("sample_id"), "gallery_index")
-
-
 def mined(spark: SparkSession, d: str) -> DataFrame:
     """The screened union of each query, fused: (sample_id, pool, gallery_index, coarse_rank, coverage, fused).
 
@@ -77,10 +69,10 @@ def mined(spark: SparkSession, d: str) -> DataFrame:
     with the coarse score over both groups together.
     """
     r = c.scored(spark, d).where(F.col("coarse") > ranking.NONE)
-    r = r.join(c.required(spark, d).select("sample_id").distinct(), "sample_id", "left_semi")
     r = r.join(forbidden(spark, d), ["sample_id", "gallery_index"], "left_anti")
-    same = identity_candidates(spark, d).withColumn("same", F.lit(True))
-    r = r.join(same, ["sample_id", "gallery_index"], "left").withColumn("pool", F.when(F.col("same"), "semantic").otherwise("identity"))
+    # each candidate is tested by what its image holds: all images with a popular identity are never listed
+    r = r.join(dataset.wanted(spark, d), "sample_id").join(dataset.indexed_sets(spark, d), "gallery_index", "left")
+    r = r.withColumn("pool", F.when(dataset.holds_all(), "semantic").otherwise("identity"))
     place = F.row_number().over(Window.partitionBy("sample_id", "pool").orderBy(F.desc("coarse"), "gallery_index"))
     union = cut(r.withColumn("place", place).where(F.col("place") <= POOL).select("sample_id", "pool", "gallery_index", "coarse"))
     bound = matching.binding(spark, d, union.select("sample_id", "gallery_index")).select("sample_id", "gallery_index", "penalized", "coverage")

@@ -92,3 +92,14 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_hard_crops_lists_no_pairs_by_identity(spark):
     joins = [line for line in QUERIES["hard_crops"](spark, D)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
     assert joins and not [line for line in joins if "identity_id" in line]
+
+
+def refuse(*_args, **_kwargs):
+    raise AssertionError("lists every image that holds an identity")
+
+
+def test_mined_pools_list_no_pairs_by_identity(spark, monkeypatch):
+    from setlens.plans import calibrated
+
+    monkeypatch.setattr(calibrated, "division", refuse, raising=False)
+    assert QUERIES["hard_negative_pools"](spark, D).count()
