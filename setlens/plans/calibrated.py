@@ -89,25 +89,27 @@ def hard_negative_pools(spark: SparkSession, d: str) -> DataFrame:
     return mined(spark, d).where("coverage > 0").select("sample_id", "pool", "gallery_index", pos.alias("pool_pos"))
 
 
-def positive_sets(spark: SparkSession, d: str) -> DataFrame:
-    """(sample_id, gallery_index, kind): identity positives within the split, and full positives, which are both labelled and among them."""
-    at = c.gallery(spark, d).select("image_id", F.col("gallery_pos").alias("gallery_index"))
-    ids = dataset.identity_positives(spark, d).join(at, "image_id").select("sample_id", "gallery_index").distinct()
-    full = ids.join(c.positives(spark, d), ["sample_id", "gallery_index"], "left_semi")
-    return ids.withColumn("kind", F.lit("id")).unionByName(full.withColumn("kind", F.lit("full")))
+def identity_matches(pairs: DataFrame, scope: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs (sample_id, gallery_index, ...) whose image is an identity positive: in the sample's split, not its query image, with all its identities."""
+    items = items.select(F.col("gallery_pos").alias("gallery_index"), "image_id", "split", "has")
+    found = pairs.join(scope, "sample_id").join(items, ["gallery_index", "split"]).where(dataset.holds_all() & (F.col("image_id") != F.col("query_image_id")))
+    return found.select(*pairs.columns)
 
 
 def evaluation_per_query(spark: SparkSession, d: str) -> DataFrame:
     """Both positive sets of every ranked query that has full positives: sizes, precision, recall, and candidate recall of the shortlist."""
-    ranked = cut(retrieval.final_ranked(spark, d).join(positive_sets(spark, d).select("sample_id", "gallery_index").distinct(), ["sample_id", "gallery_index"], "left_semi"))
-    queries = c.scored(spark, d).select("sample_id").distinct()
-    sets = cut(positive_sets(spark, d).join(queries, "sample_id", "left_semi"))
-    out = sets.where("kind = 'full'").select("sample_id").distinct().join(
+    items = cut(dataset.placed_sets(spark, d))
+    scope = dataset.scoped_samples(spark, d).join(dataset.wanted(spark, d), "sample_id").select("sample_id", "split", "query_image_id", "wants")
+    # a pair is tested by what its image holds; identity positives are counted, and only the ranked and the labelled ones listed
+    full = cut(identity_matches(c.positives(spark, d), scope, items).join(c.scored(spark, d).select("sample_id").distinct(), "sample_id", "left_semi"))
+    scope = cut(scope.join(full.select("sample_id").distinct(), "sample_id", "left_semi"))
+    ranked = cut(identity_matches(retrieval.final_ranked(spark, d), scope, items))
+    out = full.select("sample_id").distinct().join(
         c.samples(spark, d).where(F.col("case_type").isin(*c.CASES)).select("sample_id", "case_type"), "sample_id"
     )
+    sizes = {"id": dataset.eligible_counts(scope, items).select("sample_id", F.col("eligible").alias("n_pos")), "full": full.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_pos"))}
     for kind in ("id", "full"):
-        own = sets.where(F.col("kind") == kind).select("sample_id", "gallery_index")
-        n_pos = own.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_pos"))
+        own, n_pos = full if kind == "full" else ranked.select("sample_id", "gallery_index").distinct(), sizes[kind]
         hits = metrics.positive_ranks(ranked, own, "sample_id", "gallery_index", "final_rank")
         m = metrics.query_metrics(hits, n_pos, "sample_id", "final_rank", retrieval.KS)
         names = [F.col("n_pos").alias(f"num_{kind}_positives"), F.round("ap", 6).alias(f"{kind}_ap"), *[F.col(f"r{k}").alias(f"{kind}_r{k}") for k in retrieval.KS]]

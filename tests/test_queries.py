@@ -103,3 +103,11 @@ def test_mined_pools_list_no_pairs_by_identity(spark, monkeypatch):
 
     monkeypatch.setattr(calibrated, "division", refuse, raising=False)
     assert QUERIES["hard_negative_pools"](spark, D).count()
+
+
+def test_evaluation_lists_no_pairs_by_identity(spark, monkeypatch):
+    """Identity positives are counted, and only ranked and labelled pairs are tested."""
+    from setlens.plans import dataset
+
+    monkeypatch.setattr(dataset, "identity_positives", refuse)
+    assert QUERIES["evaluation_per_query"](spark, D).count()
