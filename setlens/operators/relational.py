@@ -42,20 +42,32 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right
 def partial_overlap(required: DataFrame, having: DataFrame) -> DataFrame:
     """(qid, iid, overlap, missing, missing_subjects) of items that have some but not all keys of a query with two or more.
 
-    required: (qid, subject, key). missing: sorted keys; missing_subjects: sorted subjects none of whose keys is there.
+    required: (qid, subject, key). missing: sorted keys; missing_subjects: sorted subjects none of whose keys is there. With
+    a column scope on both sides only items of the query's scope meet it; with a column own an item of that id is left out.
+
+    A pair comes out where it meets by the smallest common key, so pairs are neither grouped nor shuffled; what is missing
+    beside a single common key is known before the join.
     """
-    keys = required.select("qid", "key").distinct()
-    need = keys.groupBy("qid").agg(F.count(F.lit(1)).alias("need")).where("need > 1")
-    hits = keys.join(having, "key").groupBy("qid", "iid").agg(F.count(F.lit(1)).alias("overlap"), F.collect_set("key").alias("have"))
-    hits = hits.join(need, "qid").where("overlap < need")
-    wants = required.groupBy("qid", "subject").agg(F.collect_set("key").alias("keys"))
-    wants = wants.groupBy("qid").agg(F.collect_list(F.struct("subject", "keys")).alias("subjects"))
-    gone = F.filter("subjects", lambda s: ~F.arrays_overlap(s["keys"], F.col("have")))
-    every = F.array_distinct(F.flatten("subjects.keys"))
-    return hits.join(wants, "qid").select(
-        "qid", "iid", "overlap",
-        F.array_sort(F.array_except(every, "have")).alias("missing"),
-        F.array_sort(F.transform(gone, lambda s: s["subject"])).alias("missing_subjects"),
+    by = ["scope"] * ("scope" in required.columns)
+    query = ["qid", *by, *["own"] * ("own" in required.columns)]
+    wants = required.groupBy(*query, "subject").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    wants = wants.groupBy(*query).agg(F.array_sort(F.collect_list(F.struct("subject", "keys"))).alias("subjects"))
+    wants = wants.withColumn("every", F.array_sort(F.array_distinct(F.flatten("subjects.keys")))).where(F.size("every") > 1)
+    without = lambda keys: F.transform(F.filter("subjects", lambda s: ~F.arrays_overlap(s["keys"], keys)), lambda s: s["subject"])
+    asked = wants.withColumn("key", F.explode("every"))
+    asked = asked.withColumn("others", F.array_remove("every", F.col("key"))).withColumn("without", without(F.array("key")))
+    there = having.join(asked.select(*by, "key").distinct(), [*by, "key"], "left_semi")
+    there = there.groupBy("iid", *by).agg(F.array_sort(F.collect_set("key")).alias("have")).withColumn("key", F.explode("have"))
+    pairs = meet(asked, there, [*by, "key"], "qid", "iid")
+    if "own" in query:
+        pairs = pairs.where(F.col("iid") != F.col("own"))
+    common = F.when(F.size("have") == 1, F.col("have")).otherwise(F.array_intersect("every", "have"))
+    pairs = pairs.withColumn("common", common).where((F.col("common")[0] == F.col("key")) & (F.size("common") < F.size("every")))
+    alone = F.size("common") == 1
+    return pairs.select(
+        "qid", "iid", F.size("common").cast("bigint").alias("overlap"),
+        F.when(alone, F.col("others")).otherwise(F.array_except("every", "have")).alias("missing"),
+        F.when(alone, F.col("without")).otherwise(without(F.col("have"))).alias("missing_subjects"),
     )
 
 

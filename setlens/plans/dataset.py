@@ -133,13 +133,13 @@ def identity_positives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def partial_identity_pools(spark: SparkSession, d: str) -> DataFrame:
-    req, having = scoped_items(spark, d)
-    found = partial_overlap(req.select("qid", F.col("subject_id").alias("subject"), "key"), having)
-    found = found.join(scoped_samples(spark, d).select(F.col("sample_id").alias("qid"), "query_image_id"), "qid")
-    plain = F.transform("missing", lambda x: F.substring_index(x, "|", -1))
-    return found.where("iid <> query_image_id").select(
+    req, having = identity_items(spark, d)
+    scope = scoped_samples(spark, d).select(F.col("sample_id").alias("qid"), F.col("split").alias("scope"), F.col("query_image_id").alias("own"))
+    there = c.images(spark, d).select(F.col("image_id").alias("iid"), F.col("split").alias("scope"))
+    found = partial_overlap(req.withColumnRenamed("subject_id", "subject").join(scope, "qid"), having.join(there, "iid"))
+    return found.select(
         F.col("qid").alias("sample_id"), F.col("iid").alias("image_id"), "overlap",
-        F.array_join(plain, ",").alias("missing_ids"),
+        F.array_join("missing", ",").alias("missing_ids"),
         F.array_join(F.transform("missing_subjects", lambda s: s.cast("string")), ",").alias("missing_subjects"),
     )
 

@@ -455,3 +455,12 @@ def test_relations_are_read_between_mentions(spark):
         "the reference person has the other referenced person (Subject 10) is"
     )
     assert one(texts.condition(F.lit(None).cast("string"), F.lit(2))) is None
+
+
+def test_meet_divides_a_popular_key(spark):
+    """All pairs come out once, and those of one key from several blocks."""
+    left = spark.createDataFrame([(f"q{i}", "hot" if i < 7 else "cold") for i in range(9)], "qid string, key string")
+    right = spark.createDataFrame([(f"i{i}", "hot" if i < 8 else "cold") for i in range(10)], "iid string, key string")
+    got = relational.meet(left, right, ["key"], "qid", "iid", rows=2)
+    assert got.exceptAll(left.join(right, "key")).isEmpty() and got.count() == 7 * 8 + 2 * 2
+    assert "_a" in got._jdf.queryExecution().executedPlan().toString()
