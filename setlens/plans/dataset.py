@@ -326,30 +326,21 @@ def review_catalog(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def positive_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(sample_id, split, image_id, eligible, positive, in_split, registered, fits, candidate) of all pairs that any of these concerns, one row each."""
+    """(sample_id, split, image_id, eligible, positive, full, registered, fits, candidate) of all labelled and catalogued pairs, one row each."""
     s = c.samples(spark, d).join(c.splits(spark, d), "sample_id").select("sample_id", "split", "query_image_id", "positives")
-    i = c.images(spark, d).select("image_id", "split")
-    req, having = identity_items(spark, d)
-    req = req.select(F.col("qid").alias("sample_id"), F.col("key").alias("identity_id")).distinct()
-    need = req.groupBy("sample_id").agg(F.count(F.lit(1)).alias("need"))
-    found = division(req.select(F.col("sample_id").alias("qid"), F.col("identity_id").alias("key")), having)
-    eligible = found.select(F.col("qid").alias("sample_id"), F.col("iid").alias("image_id")).join(i, "image_id").join(s.select("sample_id", "split", "query_image_id"), ["sample_id", "split"])
-    eligible = eligible.where(~F.col("image_id").eqNullSafe(F.col("query_image_id"))).select("sample_id", "split", "image_id", F.lit("eligible").alias("what"))
-    positive = s.select("sample_id", "split", F.explode("positives").alias("image_id"))
-    known = i.select("image_id", F.col("split").alias("image_split"))
-    place = F.when(F.col("image_split").isNull(), "unregistered").when(F.col("image_split") == F.col("split"), "inside").otherwise("outside")
-    placed = positive.join(known, "image_id", "left").select("sample_id", "split", "image_id", place.alias("what"))
-    seen = positive.join(req, "sample_id").join(having.select(F.col("iid").alias("image_id"), F.col("key").alias("identity_id")), ["image_id", "identity_id"])
-    fits = seen.groupBy("sample_id", "split", "image_id").agg(F.count(F.lit(1)).alias("n")).join(need, "sample_id").where("n = need")
+    positive = s.select("sample_id", "split", F.explode("positives").alias("image_id"), F.lit("positive").alias("what"))
     candidates = review_catalog(spark, d)[0].join(s.select("sample_id", "split"), "sample_id").select("sample_id", "split", "image_id", F.lit("candidate").alias("what"))
-    every = eligible.unionByName(placed).unionByName(fits.select("sample_id", "split", "image_id", F.lit("fits").alias("what"))).unionByName(candidates)
-    flag = lambda *names: F.max(F.col("what").isin(*names))
-    pairs = every.groupBy("sample_id", "split", "image_id").agg(
-        flag("eligible").alias("eligible"), flag("inside", "outside", "unregistered").alias("positive"), flag("inside").alias("full"),
-        flag("inside", "outside").alias("registered"), flag("fits").alias("fits"), flag("candidate").alias("candidate"),
+    flag = lambda name: F.max(F.col("what") == name).alias(name)
+    pairs = positive.unionByName(candidates).groupBy("sample_id", "split", "image_id").agg(flag("positive"), flag("candidate"))
+    known = c.images(spark, d).select("image_id", F.col("split").alias("image_split")).join(image_sets(spark, d), "image_id", "full")
+    pairs = pairs.join(known, "image_id", "left").join(s.select("sample_id", "split", "query_image_id"), ["sample_id", "split"]).join(wanted(spark, d), "sample_id", "left")
+    inside = F.coalesce(F.col("image_split") == F.col("split"), F.lit(False))
+    # an image fits a sample that requires nothing, but is not eligible for it
+    return pairs.select(
+        "sample_id", "split", "image_id", (holds_all() & inside & ~F.col("image_id").eqNullSafe(F.col("query_image_id"))).alias("eligible"), "positive",
+        (F.col("positive") & inside).alias("full"), (F.col("positive") & F.col("image_split").isNotNull()).alias("registered"),
+        (holds_all() | F.col("wants").isNull()).alias("fits"), "candidate",
     )
-    # an image fits a sample that requires nothing
-    return pairs.join(need, "sample_id", "left").withColumn("fits", F.col("fits") | F.col("need").isNull()).drop("need")
 
 
 def positive_scope_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -357,14 +348,14 @@ def positive_scope_audit(spark: SparkSession, d: str) -> DataFrame:
 
     issues are faults of the labels themselves, source_issues of the review's files. A review that is neither faulty nor
     missing is complete if its catalog holds all eligible images, else partial; only then the images that it shows and
-    nobody chose count as negatives. Pairs are counted, never listed per sample.
+    nobody chose count as negatives. Only labelled and catalogued pairs are listed; eligible images are counted by identity.
     """
     pairs = positive_pairs(spark, d)
     n = lambda condition: F.count(F.when(F.expr(condition), 1))
     counts = pairs.groupBy("sample_id", "split").agg(
-        n("eligible").alias("eligible"), n("full").alias("full_positives"), n("positive AND NOT full").alias("out_of_split"), n("positive AND NOT registered").alias("unregistered"),
-        n("positive AND NOT fits").alias("invalid_identity"), n("eligible AND NOT candidate").alias("uncatalogued"), n("eligible AND NOT full").alias("open_all"),
-        n("eligible AND NOT full AND NOT candidate").alias("open_uncatalogued"), n("eligible AND candidate AND NOT full").alias("shown"), n("full AND NOT candidate").alias("undecided"),
+        n("full").alias("full_positives"), n("positive AND NOT full").alias("out_of_split"), n("positive AND NOT registered").alias("unregistered"),
+        n("positive AND NOT fits").alias("invalid_identity"), n("eligible AND candidate").alias("catalogued"), n("eligible AND full").alias("chosen"),
+        n("eligible AND (full OR candidate)").alias("settled"), n("eligible AND candidate AND NOT full").alias("shown"), n("full AND NOT candidate").alias("undecided"),
     )
     req = c.required(spark, d).select("sample_id", "identity_id").distinct()
     need = req.groupBy("sample_id").agg(F.count(F.lit(1)).alias("need"))
@@ -374,10 +365,13 @@ def positive_scope_audit(spark: SparkSession, d: str) -> DataFrame:
     i = c.images(spark, d).select("image_id", "split", F.lit(True).alias("there"))
     q = i.select(F.col("image_id").alias("query_image_id"), "split", F.col("there").alias("query_in"))
     t = i.select(F.col("image_id").alias("target_image_id"), "split", F.col("there").alias("seed_in"))
-    s = s.join(counts, ["sample_id", "split"], "left").join(need, "sample_id", "left").join(on_query, "sample_id", "left")
+    scope = s.select("sample_id", "split", "query_image_id").join(wanted(spark, d), "sample_id")
+    eligible = eligible_counts(scope, cut(placed_sets(spark, d)))
+    s = s.join(counts, ["sample_id", "split"], "left").join(eligible, ["sample_id", "split"], "left").join(need, "sample_id", "left").join(on_query, "sample_id", "left")
     s = s.join(q, ["query_image_id", "split"], "left").join(t, ["target_image_id", "split"], "left").join(review_catalog(spark, d)[1], "sample_id", "left")
-    names = ["eligible", "full_positives", "out_of_split", "unregistered", "invalid_identity", "uncatalogued", "open_all", "open_uncatalogued", "shown", "undecided", "need", "on_query"]
+    names = ["eligible", "full_positives", "out_of_split", "unregistered", "invalid_identity", "catalogued", "chosen", "settled", "shown", "undecided", "need", "on_query"]
     s = s.withColumns({x: F.coalesce(x, F.lit(0)) for x in names})
+    s = s.withColumns({x: F.col("eligible") - F.col(y) for x, y in (("uncatalogued", "catalogued"), ("open_all", "chosen"), ("open_uncatalogued", "settled"))})
     labelled_seed = F.coalesce(F.array_contains("positives", F.col("target_image_id")), F.lit(False))
     code = issues(
         empty_required_identities=F.col("need") == 0, query_outside_split=F.col("query_in").isNull(), query_missing_required_identities=F.col("on_query") < F.col("need"),

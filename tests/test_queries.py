@@ -111,3 +111,10 @@ def test_evaluation_lists_no_pairs_by_identity(spark, monkeypatch):
 
     monkeypatch.setattr(dataset, "identity_positives", refuse)
     assert QUERIES["evaluation_per_query"](spark, D).count()
+
+
+def test_scope_audit_lists_no_pairs_by_identity(spark, monkeypatch):
+    from setlens.plans import dataset
+
+    monkeypatch.setattr(dataset, "division", refuse)
+    assert QUERIES["positive_scope_audit"](spark, D).count()
