@@ -393,19 +393,34 @@ def positive_scope_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of samples without label faults whose review is not complete or disputed: the target first, then eligible images by gallery position."""
+    """Candidates of samples without label faults whose review is not complete or disputed: the target first, then eligible images by gallery position.
+
+    Without label faults the target and the query image stand in the split and hold all required identities. So the place
+    of an image for a sample that requires one identity is its place among all images with that one, moved by those two:
+    images are numbered once per identity, and the pairs go from their join to the result.
+    """
     classes = cut(label_classes(spark, d))
     disputed = classes.join(audit.disputed(classes).select("class_key", "image_id"), "class_key").where(~F.col("image_id").eqNullSafe(F.col("query_image_id")))
     disputed = disputed.select("sample_id", "split", F.lit(True).alias("disputed")).distinct()
     open_ = positive_scope_audit(spark, d).where("issues = ''").join(disputed, ["sample_id", "split"], "left")
     open_ = open_.where("status <> 'complete_catalog' OR disputed").select("sample_id", "split")
-    eligible = identity_positives(spark, d).join(open_, ["sample_id", "split"], "left_semi").select("sample_id", "split", "image_id")
-    seeds = open_.join(c.samples(spark, d).select("sample_id", F.col("target_image_id").alias("image_id")), "sample_id")
-    both = eligible.withColumn("later", F.lit(1)).unionByName(seeds.withColumn("later", F.lit(0)))
-    rows = both.groupBy("sample_id", "split", "image_id").agg(F.min("later").alias("later")).join(c.gallery(spark, d), "image_id")
-    rows = rows.withColumn("task", F.concat_ws("|", "split", "sample_id"))
-    placed = audit.running_total(rows, "task", ["later", "gallery_pos"], F.lit(1).cast("bigint"), "before")
-    return placed.select("sample_id", "split", "image_id", (F.col("before") + 1).alias("queue_pos"))
+    asked = c.samples(spark, d).select("sample_id", "query_image_id", "target_image_id").join(wanted(spark, d), "sample_id")
+    open_ = cut(open_.join(asked, "sample_id"))
+    seeds = open_.select("sample_id", "split", F.col("target_image_id").alias("image_id"), F.lit(1).cast("bigint").alias("queue_pos"))
+    items = cut(placed_sets(spark, d))
+    one = open_.where(F.size("wants") == 1).withColumn("key", F.concat_ws("|", "split", F.col("wants")[0])).drop("wants")
+    keyed = items.select("image_id", "gallery_pos", F.explode("has").alias("key"), "split").withColumn("key", F.concat_ws("|", "split", "key")).drop("split")
+    keyed = keyed.join(one.select("key").distinct(), "key", "left_semi")
+    numbered = cut(audit.running_total(keyed, "key", ["gallery_pos", "image_id"], F.lit(1).cast("bigint"), "place"))
+    for x in ("query", "target"):
+        one = one.join(numbered.select("key", F.col("image_id").alias(f"{x}_image_id"), F.col("place").alias(f"{x}_place")), ["key", f"{x}_image_id"])
+    found = meet(one, numbered.select("key", "image_id", "place"), ["key"], "sample_id", "image_id")
+    found = found.where("image_id <> query_image_id AND image_id <> target_image_id")
+    earlier = F.expr("cast(query_place < place AS int) + cast(target_place < place AS int)")
+    found = found.select("sample_id", "split", "image_id", (F.col("place") - earlier + 2).alias("queue_pos"))
+    several = eligible_of_several(open_, items).where("image_id <> target_image_id").withColumn("task", F.concat_ws("|", "split", "sample_id"))
+    several = audit.running_total(several.select("sample_id", "split", "image_id", "gallery_pos", "task"), "task", ["gallery_pos"], F.lit(1).cast("bigint"), "before")
+    return seeds.unionByName(found).unionByName(several.select("sample_id", "split", "image_id", (F.col("before") + 2).alias("queue_pos")))
 
 
 def final_samples(spark: SparkSession, d: str) -> DataFrame:

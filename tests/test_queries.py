@@ -118,3 +118,10 @@ def test_scope_audit_lists_no_pairs_by_identity(spark, monkeypatch):
 
     monkeypatch.setattr(dataset, "division", refuse)
     assert QUERIES["positive_scope_audit"](spark, D).count()
+
+
+def test_review_queue_numbers_images_once_per_identity(spark, monkeypatch):
+    from setlens.plans import dataset
+
+    monkeypatch.setattr(dataset, "identity_positives", refuse)
+    assert QUERIES["review_queue"](spark, D).count()
